@@ -237,8 +237,13 @@ def collapse_story_clusters_v2(ranked: DataFrame) -> tuple[DataFrame, DataFrame,
     )
     attached = keyed.join(reps, ["edition", "rep_ord"]).join(related, ["edition", "left_id", "right_id"])
     members_out = attached.select("edition", "pos", "representative_pos", "reason", "ord")
-    clusters = members_out.groupBy("edition", "representative_pos").agg(
-        (F.count(F.lit(1)) + 1).alias("member_count"),
-        F.collect_set("reason").alias("reasons"),
+    by_reason = members_out.groupBy("edition", "representative_pos", "reason").agg(
+        F.min("ord").alias("o"), F.count(F.lit(1)).alias("n")
+    )
+    clusters = by_reason.groupBy("edition", "representative_pos").agg(
+        (F.sum("n") + 1).alias("member_count"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("o", "reason"))), lambda x: x["reason"]
+        ).alias("reasons"),
     )
     return representatives, members_out, clusters
