@@ -25,6 +25,7 @@ def first_fit(members: DataFrame, edges: DataFrame, name: str = "first-fit") ->
     spark = members.sparkSession
     rounds = Rounds(spark, name)
     edges = rounds.save(edges.select("edition", "later", "earlier").distinct(), "edges")
+    members = rounds.save(members.select("edition", "node", "ord", "hub"), "members")
     sizes = members.groupBy("edition", "hub").agg(F.count(F.lit(1)).alias("_size"))
     self_hot = (
         edges.filter("later = earlier")
