@@ -45,8 +45,10 @@ def complete_sentence(value: ColumnOrName) -> Column:
 
 def source_sentences(value: ColumnOrName) -> Column:
     v = compact_text(value)
+    # cut behind every sentence end: linear, unlike a pattern that scans for an end from each start
+    pieces = F.split(v, "(?<=[。！？])")
     found = F.transform(
-        F.regexp_extract_all(v, F.lit("[^。！？]+[。！？]"), F.lit(0)), lambda s: strip(s)
+        F.filter(pieces, lambda s: s.rlike("[。！？]$") & (F.length(s) > 1)), lambda s: strip(s)
     )
     whole = F.when(v != "", F.array(complete_sentence(v))).otherwise(
         F.array().cast("array<string>")

@@ -11,6 +11,7 @@ from tidewire.operators.catalog import Catalog, title_model_aliases
 from tidewire.operators.greedy import components, first_fit
 from tidewire.operators.ranking import global_rank, top_k
 from tidewire.operators.similarity import near_duplicate_pairs, shared_token_pairs
+from tidewire.workspace import save_once
 
 
 def story_edges(df: DataFrame) -> DataFrame:
@@ -202,7 +203,8 @@ def _relation_keys(sigs: DataFrame) -> DataFrame:
 
 def related_signatures(df: DataFrame) -> DataFrame:
     """(edition, left_id, right_id, reason) for all related signature pairs, both directions and self."""
-    sigs = df.select("edition", "sig_id", "sig").dropDuplicates(["edition", "sig_id"])
+    # the distinct signatures are read three times and are far fewer than the rows
+    sigs = save_once(df.select("edition", "sig_id", "sig").dropDuplicates(["edition", "sig_id"]), "signatures")
     keys = _relation_keys(sigs)
     pairs = (
         keys.withColumnRenamed("sig_id", "left_id")
@@ -223,7 +225,7 @@ def collapse_story_clusters_v2(ranked: DataFrame) -> tuple[DataFrame, DataFrame,
 
     `ranked` has sig, sig_id and `ord`, the comparable selection order.
     """
-    related = related_signatures(ranked)
+    related = save_once(related_signatures(ranked), "related")
     members = ranked.select("edition", F.col("pos").alias("node"), "ord", F.col("sig_id").alias("hub"))
     edges = related.select("edition", F.col("left_id").alias("later"), F.col("right_id").alias("earlier"))
     decided = first_fit(members, edges, "clusters-v2")

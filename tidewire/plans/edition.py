@@ -52,10 +52,10 @@ def enrich_edition(
     """
     work = Rounds(df.sparkSession, "enrich")
     routed = work.save(G.route_for_publication(df, gates), "routed")
-    candidates = routed.filter("route in ('story', 'lead')").drop("reasons", "route")
+    candidates = routed.filter("route in ('story', 'lead')").withColumn("_late", F.col("route") == "lead")
+    candidates = candidates.drop("reasons", "route")
     # stories come before leads in the input order of the queue
-    is_lead_route = routed.select("edition", "pos", (F.col("route") == "lead").alias("_late"))
-    shifted = candidates.join(is_lead_route, ["edition", "pos"]).withColumn("_pos", F.col("pos"))
+    shifted = candidates.withColumn("_pos", F.col("pos"))
     span = F.lit(1 << 40)
     shifted = shifted.withColumn("pos", F.when(F.col("_late"), F.col("pos") + span).otherwise(F.col("pos")))
     cap = max(0, min(30, settings.max_total_calls))
