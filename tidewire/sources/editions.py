@@ -8,16 +8,26 @@ from pyspark.sql import types as T
 
 from tidewire.schema import ARTICLE
 
-_ITEM = "struct<article_id:string,title:string,summary:string,url:string,why_it_matters:string,source_label:string,published_at:string,confidence:string>"
+_ITEM_FIELDS = "article_id title summary url why_it_matters source_label published_at confidence".split()
+
+
+def _strings(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def edition_schema() -> T.StructType:
     articles = T.StructType([f for f in ARTICLE.fields if f.name not in ("edition", "pos")])
+    summary = T.StructType(
+        [
+            T.StructField("items", T.ArrayType(_strings(_ITEM_FIELDS))),
+            *_strings(["discussion_topic", "policy", "provider", "model"]).fields,
+        ]
+    )
     return (
         T.StructType()
         .add("date", "string")
         .add("articles", T.ArrayType(articles))
-        .add("summary", f"struct<items:array<{_ITEM}>,discussion_topic:string,policy:string,provider:string,model:string>")
+        .add("summary", summary)
         .add("_corrupt_record", "string")
     )
 
