@@ -211,7 +211,11 @@ def followup_query(best_title: ColumnOrName) -> Column:
 
 
 def evidence_text(content: ColumnOrName, raw_content: ColumnOrName, max_chars: int) -> Column:
-    snippet, raw = compact_text(content), compact_text(raw_content)
+    return join_evidence(compact_text(content), compact_text(raw_content), max_chars)
+
+
+def join_evidence(snippet: Column, raw: Column, max_chars: int) -> Column:
+    """Snippet plus raw text unless it repeats it; both are compact already."""
     joined = F.when(
         (raw != "") & ~F.contains(snippet, raw), F.trim(F.concat(snippet, F.lit(" "), raw))
     ).otherwise(snippet)

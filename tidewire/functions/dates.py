@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import ColumnOrName, as_col, strip, text
 from tidewire.settings import REPORT_TZ
 
-_ISO = (
-    r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?([.,]\d{1,6}\d*)?)?"
-    r"(Z|[+-]\d{2}:?\d{2})?$"
-)
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
 _RFC = (
     r"^(?:[A-Za-z]{3,9},?\s*)?(\d{1,2})[\s-]([A-Za-z]{3})[a-z]*[\s-](\d{4}),?\s+"
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]{1,4}|[+-]\d{4})?(?:\s*\(.*\))?$"
@@ -47,16 +44,19 @@ def _offset(zone: Column, naive: str | None) -> Column:
 
 
 def _parse_iso(value: Column, naive: str | None) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(value, _ISO, i)
-
-    clock = F.when(part(2) == "", "00:00").otherwise(part(2))
-    seconds = F.when(part(3) == "", ":00").otherwise(part(3))
-    fraction = F.substring(F.replace(part(4), F.lit(","), F.lit(".")), 1, 7)
-    # an offset without a clock is not a date-time
-    valid = value.rlike(_ISO) & ~((part(2) == "") & (part(5) != ""))
-    stamp = F.concat(part(1), F.lit(" "), clock, seconds, fraction, _offset(part(5), naive))
-    return F.when(valid, stamp.try_cast("timestamp"))
+    # the engine reads this notation itself once fraction and offset are in its form
+    tidy = F.regexp_replace(F.replace(value, F.lit(","), F.lit(".")), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    date_only = F.length(value) == 10
+    zoned = value.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & ~date_only
+    if naive is None:
+        stamp = F.when(zoned, tidy)
+    else:
+        stamp = (
+            F.when(zoned, tidy)
+            .when(date_only, F.concat(value, F.lit(f" 00:00:00 {naive}")))
+            .otherwise(F.concat(tidy, F.lit(f" {naive}")))
+        )
+    return F.when(value.rlike(_ISO), stamp.try_cast("timestamp"))
 
 
 def _parse_mail(value: Column, naive: str | None) -> Column:

@@ -117,8 +117,9 @@ def gate_evidence(results: DataFrame, settings: EnrichSettings, reference: str =
     rows = results.withColumn("_url", compact_text("url")).withColumn(
         "_date", compact_text("published_date")
     )
+    rows = rows.withColumn("_snip", compact_text("content")).withColumn("_raw", compact_text("raw_content"))
     rows = rows.withColumn(
-        "_text", A.evidence_text("content", "raw_content", settings.evidence_chars)
+        "_text", A.join_evidence(F.col("_snip"), F.col("_raw"), settings.evidence_chars)
     )
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
     inside = D.within_hours(D.parse_published("_date"), reference, settings.max_age_hours)
@@ -140,7 +141,7 @@ def gate_evidence(results: DataFrame, settings: EnrichSettings, reference: str =
     )
     return rows.withColumn("evidence_item", evidence).withColumn(
         "evidence_ok", F.coalesce(ok, F.lit(False))
-    ).drop("_url", "_date", "_text")
+    ).drop("_url", "_date", "_snip", "_raw", "_text")
 
 
 def source_text(*names: str):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import articles as A
 from tidewire.functions import dates as D
-from tidewire.workspace import Rounds
+from tidewire.workspace import Rounds, save_once
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
@@ -27,8 +27,6 @@ def global_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "r
     partitions, which is a prefix sum over (partitions x groups) counts.
     """
     spark = df.sparkSession
-    names = [f"_o{i}" for i in range(len(order))]
-    # sort directions travel with the columns, so negative keys are built by the caller via desc()
     keyed = df.repartitionByRange(*[F.col(b) for b in by], *order)
     keyed = keyed.sortWithinPartitions(*[F.col(b) for b in by], *order)
     keyed = keyed.withColumn("_part", F.spark_partition_id())
@@ -39,7 +37,7 @@ def global_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "r
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     ranked = saved.withColumn("_local", F.row_number().over(local)).join(offsets, ["_part", *by])
     return ranked.withColumn(out, (F.col("_local") + F.col("_before")).cast("long")).drop(
-        "_part", "_local", "_before", *names
+        "_part", "_local", "_before"
     )
 
 
@@ -91,8 +89,12 @@ def lead_order(analysis: str = "analysis") -> list[Column]:
     ]
 
 
-def _queue_turns(df: DataFrame, analysis: str, cap: int | None) -> DataFrame:
-    """Turn of each row inside its entity and the sort key of the entity's best row."""
+def candidate_queue(df: DataFrame, analysis: str = "analysis", cap: int | None = None) -> DataFrame:
+    """Round-robin over primary entities; entities in order of their best row.
+
+    With a cap only the first `cap` queue rows per edition are returned, and no group is ever
+    sorted beyond that depth. Only keys travel through the sorts; rows are joined at the end.
+    """
     key = F.struct(
         (-F.col(analysis)["relevance"]).alias("a"),
         (-F.col("priority")).alias("b"),
@@ -101,32 +103,21 @@ def _queue_turns(df: DataFrame, analysis: str, cap: int | None) -> DataFrame:
         F.col("pos").alias("e"),
     )
     primary = F.col(analysis)["primary_entity"]
-    rows = df.withColumn("_key", key).withColumn(
-        "_bucket", F.when(primary != "", primary).otherwise(F.concat(F.lit("\0"), F.col("pos")))
-    )
+    bucket = F.when(primary != "", primary).otherwise(F.concat(F.lit("\0"), F.col("pos")))
+    keys = save_once(df.select("edition", "pos", key.alias("_key"), bucket.alias("_bucket")), "queue-keys")
     if cap is None:
-        rows = global_rank(rows, ["edition", "_bucket"], [F.col("_key").asc()], "turn")
+        turns = global_rank(keys, ["edition", "_bucket"], [F.col("_key").asc()], "turn")
     else:
-        rows = top_k(rows, ["edition", "_bucket"], [F.col("_key").asc()], cap, "turn")
-    first = rows.filter("turn = 1").select("edition", "_bucket", F.col("_key").alias("_first"))
-    return rows.join(first, ["edition", "_bucket"])
-
-
-def candidate_queue(df: DataFrame, analysis: str = "analysis", cap: int | None = None) -> DataFrame:
-    """Round-robin over primary entities; entities in order of their best row.
-
-    With a cap only the first `cap` queue rows per edition are returned, and no group is ever
-    sorted beyond that depth.
-    """
-    rows = _queue_turns(df, analysis, cap)
+        turns = top_k(keys, ["edition", "_bucket"], [F.col("_key").asc()], cap, "turn")
+    first = turns.filter("turn = 1").select("edition", "_bucket", F.col("_key").alias("_first"))
+    turns = turns.join(first, ["edition", "_bucket"])
     order = [F.col("turn").asc(), F.col("_first").asc()]
     if cap is None:
-        rows = global_rank(rows, ["edition"], order, "queue_pos")
+        queue = global_rank(turns, ["edition"], order, "queue_pos")
     else:
-        rows = top_k(rows, ["edition"], order, cap, "queue_pos")
-    return rows.withColumn("queue_pos", F.col("queue_pos").cast("long")).drop(
-        "_key", "_bucket", "_first", "turn"
-    )
+        queue = top_k(turns, ["edition"], order, cap, "queue_pos")
+    queue = queue.select("edition", "pos", F.col("queue_pos").cast("long").alias("queue_pos"))
+    return df.join(queue, ["edition", "pos"])
 
 
 def admission_split(df: DataFrame, analysis: str = "analysis", cap: int = 30) -> tuple[DataFrame, DataFrame]:

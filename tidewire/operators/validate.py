@@ -214,10 +214,16 @@ MANIFEST_KEYS = (
 
 def check_manifest(manifests: DataFrame) -> DataFrame:
     """manifests: (edition, run_id, document) with the manifest as JSON text."""
+    shape = (
+        "schema_version string, started_at string, cutoff_at string, deadline_at string, "
+        "stages array<struct<started_at:string,finished_at:string>>"
+    )
+    manifests = manifests.withColumn("_m", F.from_json("document", shape))
+
     def at(k: str) -> Column:
-        return D.parse_strict(F.get_json_object("document", f"$.{k}"))
+        return D.parse_strict(F.col("_m")[k])
 
-    stages = F.from_json(F.get_json_object("document", "$.stages"), "array<struct<started_at:string,finished_at:string>>")
+    stages = F.col("_m")["stages"]
     extra = F.array_except(F.json_object_keys("document"), F.array(*[F.lit(k) for k in MANIFEST_KEYS]))
 
     def late(s: Column) -> Column:
@@ -227,7 +233,7 @@ def check_manifest(manifests: DataFrame) -> DataFrame:
     rows = manifests.select(
         "edition", "run_id", at("started_at").alias("s"), at("cutoff_at").alias("c"), at("deadline_at").alias("d"),
         extra.alias("x"), F.exists(stages, late).alias("bad_stage"),
-        F.get_json_object("document", "$.schema_version").alias("v"),
+        F.col("_m")["schema_version"].alias("v"),
     )
     return _violations(
         rows, F.col("run_id"),
