@@ -34,9 +34,8 @@ def union_sources(
         rows = rows.withColumn("_source_name", F.lit(name))
         fetched.append(rows.select("edition", "_source_name"))
         parts.append(top_k(rows, ["edition"], [F.col("pos").asc()], caps.get(name, default_cap), "_r").drop("_r"))
-    spark = editions.sparkSession
-    plan = spark.createDataFrame([(n, n in sources) for n in names], "source string, known boolean")
-    runs = editions.select("edition").distinct().crossJoin(F.broadcast(plan))  # settings-sized side
+    plan = F.array(*[F.struct(F.lit(n).alias("source"), F.lit(n in sources).alias("known")) for n in names])
+    runs = editions.select("edition").distinct().select("edition", F.inline(plan))
     if not parts:
         empty = conform_articles(editions.limit(0))
         return empty, _outcomes(runs.withColumn("fetched_count", F.lit(0)).withColumn("accepted_count", F.lit(0)))
