@@ -59,13 +59,15 @@ def test_dates(spark):
         epoch("Sat, 18 Jul 2026 10:00:00 GMT"),
         epoch("18 Jul 2026 06:00:00 -0400"),
         epoch("2026-07-18T18:00:00.123456+08:00"),
+        epoch("2026-07-18T18:00+0800"),
+        epoch("2026-07-18 10:00Z"),
         epoch("2026-07-18"),
         epoch("2026-13-01"),
         epoch("junk"),
         epoch("2026-07-18T18:00", D.parse_strict),
         epoch("2026-07-18T10:00:00+00:00", D.parse_strict),
     )
-    assert out == [base] * 5 + [base - 18 * 3600, None, None, None, base]
+    assert out == [base] * 7 + [base - 18 * 3600, None, None, None, base]
     ref = F.lit("2026-07-18 20:30:00 UTC").cast("timestamp")
     window = values(spark, D.report_window(ref, 24))[0]
     assert [str(v) for v in window.values()] == ["2026-07-18", "2026-07-19"]

@@ -46,6 +46,7 @@ def _offset(zone: Column, naive: str | None) -> Column:
 def _parse_iso(value: Column, naive: str | None) -> Column:
     # the engine reads this notation itself once fraction and offset are in its form
     tidy = F.regexp_replace(F.replace(value, F.lit(","), F.lit(".")), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    tidy = F.regexp_replace(tidy, r"^(.{10}[T ]\d{2}:\d{2})(?!:)", "$1:00")
     date_only = F.length(value) == 10
     zoned = value.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & ~date_only
     if naive is None:
