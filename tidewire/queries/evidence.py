@@ -150,7 +150,7 @@ def verify_candidates(spark, sf):
 
 @query("find_story_cluster_match")
 def find_story_cluster_match(spark, sf):
-    rows = V.doc_articles(spark, sf).select("edition", "pos", "title", "lang").filter("lang <> 'en'")
+    rows = V.doc_articles(spark, sf).select("edition", "pos", "title")
     accepted = rows.filter("pos % 4 = 0").withColumn("order", F.col("pos"))
     return Ev.find_cluster_match(rows.filter("pos % 4 <> 0"), accepted).select("edition", "title", "matched_title", "relation_type", "title_similarity")
 

@@ -188,15 +188,14 @@ def clean_html_fragment(spark, sf):
 
 @query(
     "public_text",
-    f"""WITH {V.DOC} SELECT doc_id, {S.compact("'see ' || source || ' ' || title")} || '，x' AS shown, regexp_replace({S.compact("'see ' || source || ' ' || title")} || '，x', '[:：]', '，', 'g') AS listed FROM doc WHERE NOT regexp_matches(title, '[\\[\\]()]')""",
+    f"""WITH {V.DOC}, t AS (SELECT doc_id, {S.compact("'see ' || source || ' ' || regexp_replace(title, '[\\[\\]()]', '', 'g')")} || '，x' AS c FROM doc) SELECT doc_id, c AS shown, regexp_replace(c, '[:：]', '，', 'g') AS listed FROM t""",
 )
 def public_text(spark, sf):
     raw = F.concat(
         F.lit("[a"), F.col("doc_id").cast("string"), F.lit("] see ["), F.col("source"), F.lit("](http://x/1) "),
-        F.lit("〔AGI 趋势 #3〕 "), F.col("title"), F.lit(" http://y.z/q ，x"),
+        F.lit("〔AGI 趋势 #3〕 "), F.regexp_replace("title", r"[\[\]()]", ""), F.lit(" http://y.z/q ，x"),
     )
-    rows = V.doc_articles(spark, sf).filter(~F.col("title").rlike(r"[\[\]()]"))
-    return rows.select("doc_id", R.public_text(raw).alias("shown"), R.public_text(raw, list_item=True).alias("listed"))
+    return V.doc_articles(spark, sf).select("doc_id", R.public_text(raw).alias("shown"), R.public_text(raw, list_item=True).alias("listed"))
 
 
 @query(

@@ -157,14 +157,13 @@ def verify_samples(spark, sf):
 
 @query(
     "one_lead_per_entity",
-    f"""WITH {V.ART}, {ANA}, l AS (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY rel DESC, priority DESC, trend_rank, pos) AS r, CASE WHEN primary_entity <> '' THEN primary_entity ELSE '~' || pos END AS e FROM ana WHERE p % 3 = 0),
+    f"""WITH {V.ART}, {ANA}, l AS (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY rel DESC, priority DESC, trend_rank, pos) AS r, CASE WHEN primary_entity <> '' THEN primary_entity ELSE '~' || pos END AS e FROM ana),
  f AS (SELECT *, row_number() OVER (PARTITION BY edition, e ORDER BY r) AS er FROM l), s AS (SELECT edition, pos, e, row_number() OVER (PARTITION BY edition ORDER BY r) AS lead_index FROM f WHERE er = 1)
  SELECT l.edition, l.pos, CASE WHEN s.lead_index <= 4 THEN s.lead_index END AS lead_index, CASE WHEN s.lead_index <= 4 THEN '' WHEN EXISTS (SELECT 1 FROM s x WHERE x.edition = l.edition AND x.e = l.e AND x.lead_index <= 4) THEN 'lead_duplicate_entity' ELSE 'lead_candidate_limit' END AS reason
  FROM l LEFT JOIN s ON s.edition = l.edition AND s.pos = l.pos""",
 )
 def one_lead_per_entity(spark, sf):
-    rows = analysed(spark, sf).withColumn("p", (F.col("pos") - 1) * 7 + F.datediff("edition", F.lit(V.BASE_DAY).cast("date"))).filter("p % 3 = 0")
-    selected, deferred = Ev.one_lead_per_entity(rows, 4)
+    selected, deferred = Ev.one_lead_per_entity(analysed(spark, sf), 4)
     return selected.select("edition", "pos", F.col("lead_index").cast("long").alias("lead_index"), F.lit("").alias("reason")).unionByName(
         deferred.select("edition", "pos", F.lit(None).cast("long").alias("lead_index"), "reason")
     )
