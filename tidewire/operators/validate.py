@@ -295,11 +295,12 @@ def represented_links_check(captured: DataFrame, articles: DataFrame, signals: D
 def leak_check(public: DataFrame, articles: DataFrame) -> DataFrame:
     """Source URLs or article ids that are visible in public text.
 
-    public: (edition, page, body). URLs are cut out of the text and joined; a link inside a longer
-    URL is found through the prefixes of that URL that end where a link can end.
+    public: (edition, page, body). URLs are cut out of the text and joined; a link at the start of a
+    longer URL is found through the prefixes of that URL that end where a link can end.
     """
     links = articles.select("edition", strip("link").alias("url")).filter("url <> ''").distinct()
-    runs = F.regexp_extract_all(text("body"), F.lit(r"https?://[^\s]+"), F.lit(0))
+    # the look-ahead also finds a URL that starts inside another one
+    runs = F.regexp_extract_all(text("body"), F.lit(r"(?=(https?://[^\s]+))"), F.lit(1))
     seen = public.select("edition", "page", F.explode(F.array_distinct(runs)).alias("run"))
     lengths = links.groupBy("edition").agg(F.collect_set(F.length("url")).alias("ls"))
     # candidate prefixes only at lengths that occur among the links of the edition
