@@ -31,9 +31,9 @@ from tidewire.workspace import checkpoint_root
 
 SCHEMA = "part int, doc_id long, offset long, n_tokens int, tokens array<int>"
 #: distinct pieces whose ids a worker process remembers; the cache starts anew beyond that
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: bytes of text encoded at a time
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,!?;:#*$%&|")] = True
@@ -217,10 +217,12 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None, to
     """
     table = spark.read.schema(SCHEMA).parquet(path)
     sizes = table.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
-    # one row per file
-    bases = sizes.select(
-        F.col("part").alias("_part"),
-        (F.sum("_size").over(W.orderBy("part")) - F.col("_size")).alias("_base"),
+    # one row of two numbers per file, so its size is bound by the number of shuffle partitions
+    bases = F.broadcast(
+        sizes.select(
+            F.col("part").alias("_part"),
+            (F.sum("_size").over(W.orderBy("part")) - F.col("_size")).alias("_base"),
+        )
     )
     wanted = table if ids is None else table.filter(F.col("doc_id").isin([int(i) for i in ids]))
     columns = ["doc_id", "start", "n_tokens"] + ["tokens"] * tokens
