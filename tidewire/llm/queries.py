@@ -37,3 +37,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens_path(spark)
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
     return token_digest(spark, path)
+
+
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
