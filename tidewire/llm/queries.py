@@ -44,3 +44,69 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.ngram_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query("op8_weak_quality")
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.weak_quality import judged
+
+    fields = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept posterior".split()
+    found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"_quality.{f}" for f in fields])
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.substring import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), k=13).drop("kept_text")
+
+
+@query("op9_spaced_seed_leaks")
+def op9_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.langid import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
+@query("op10_byte_cnn_quality")
+def op10_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.byte_cnn import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_surrogates")
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidewire.llm.pii import rewritten
+
+    found = rewritten(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates-1")
+    return found.select(
+        "doc_id",
+        "text",
+        F.size("entities").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"),
+    )

@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 4 << 20
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ class Words:
         return len(self.first) - 1
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        raw = _LOWER[self.raw] if lower else self.raw
+        raw = LOWER[self.raw] if lower else self.raw
         n = len(raw)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_CODES[raw] * _power(_P, n), out=sums[1:])
@@ -95,7 +95,7 @@ class Words:
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, row: int = 0) -> Words:
     n = len(raw)
-    dark = ~_SPACE[raw]
+    dark = ~SPACE[raw]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     if n:
         before[1:] = dark[:-1]
