@@ -31,9 +31,9 @@ from tidewire.workspace import checkpoint_root
 
 SCHEMA = "part int, doc_id long, offset long, n_tokens int, tokens array<int>"
 #: distinct pieces whose ids a worker process remembers; the cache starts anew beyond that
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 #: bytes of text encoded at a time
-STEP_BYTES = 2 << 20
+STEP_BYTES = 4 << 20
 
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,!?;:#*$%&|")] = True
