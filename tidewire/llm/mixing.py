@@ -103,9 +103,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     )
     plan = _plan(sized, weights, repeats)
     # sources are few against documents, but may be many: a join that needs no broadcast
-    placed = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
-        sized["doc_id"], "size", sized["source"], "source_size", "target", "blocks", "shards"
-    )
+    plan = plan.withColumnRenamed("source", "_named")
+    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("_named"))).drop("_named")
     placed = placed.withColumn("shard", F.pmod(_seeded(F.col("doc_id").cast("string"), "shard"), F.col("shards")))
     sums = placed.groupBy("source", "source_size", "target", "blocks", "shard").agg(F.sum("size").alias("shard_size"))
     quotas = apportion(sums, ["source"], [F.col("shard")], F.col("shard_size"), F.col("blocks"), "quota")
@@ -115,7 +114,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
         "shard_size",
         F.least(F.col("quota") * BLOCK, repeats * F.col("shard_size")).alias("quota"),
     )
-    joined = placed.join(quotas, placed["source"].eqNullSafe(F.col("_source")) & (placed["shard"] == F.col("_shard")))
+    joined = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     order = [_seeded(F.col("doc_id").cast("string"), "order"), F.col("doc_id"), F.col("size")]
     stream = W.partitionBy("source", "shard").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.sum("size").over(stream) - F.col("size")
