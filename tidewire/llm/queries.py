@@ -51,8 +51,8 @@ def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.weak_quality import judged
 
     fields = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept posterior".split()
-    found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[f"_quality.{f}" for f in fields])
+    found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return found.select("doc_id", *[f"quality.{f}" for f in fields])
 
 
 @query("op5_source_mix")

@@ -1,11 +1,11 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Rules vote good (1), bad (-1) or abstain (0) on features of the whole text. The counts of vote patterns over all documents
-(at most 3 ** rules rows) are enough for expectation-maximisation of each rule's accuracy in both classes and of the
+(at most 2 ** rules rows) are enough for expectation-maximisation of each rule's accuracy in both classes and of the
 share of good documents; each pattern's posterior then decides for its documents. Nothing is sampled.
 
 Nulls: a null text counts as an empty one; it has no words and fails the base rule. Repeated rows and equal ids are judged alike, row
-by row. An empty table gives no rows. Input columns are kept by `judged` whatever their names are.
+by row. An empty table gives no rows. Input columns are kept by `judged` whatever their names are; its struct is named `quality`, with underscores in front if that is taken.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.workspace import Rounds
+
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "".join(map(chr, range(65, 91)))
@@ -24,6 +26,11 @@ PRIOR_GOOD = 0.85
 ROUNDS = 40
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, also where body uses it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
@@ -42,8 +49,9 @@ def repeated_words(tokens: Column) -> Column:
             ),
         )
     )
-    pairs = F.zip_with(
-        windows, F.slice(windows, 2, F.size(tokens)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))
+    pairs = let(
+        windows,
+        lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))),
     )
     starts = F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
@@ -52,7 +60,7 @@ def repeated_words(tokens: Column) -> Column:
 
 def repeated_lines(text: Column) -> Column:
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
 def features(docs: DataFrame, name: str) -> DataFrame:
@@ -60,25 +68,21 @@ def features(docs: DataFrame, name: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     dark = F.translate(text, SPACES, "")
     lost = lambda marks: F.length(text) - F.length(F.translate(text, marks, ""))
-    tokens = f"{name}_tokens"
-    return (
-        docs.withColumn(tokens, words(F.col("text").cast("string")))
-        .withColumn(
-            name,
-            F.struct(
-                F.size(tokens).cast("long").alias("n_words"),
-                F.length(dark).cast("long").alias("word_chars"),
-                lost(SYMBOLS).cast("long").alias("n_symbols"),
-                repeated_lines(F.col("text").cast("string")).alias("n_dup_lines"),
-                repeated_words(F.col(tokens)).alias("n_repeat_words"),
-                lost(UPPER).cast("long").alias("n_upper"),
-                lost("!").cast("long").alias("n_shouts"),
-                F.size(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))).cast("long").alias("n_distinct"),
-                F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-            ),
+
+    def measured(tokens: Column) -> Column:
+        return F.struct(
+            F.size(tokens).cast("long").alias("n_words"),
+            F.length(dark).cast("long").alias("word_chars"),
+            lost(SYMBOLS).cast("long").alias("n_symbols"),
+            repeated_lines(text).alias("n_dup_lines"),
+            repeated_words(tokens).alias("n_repeat_words"),
+            lost(UPPER).cast("long").alias("n_upper"),
+            lost("!").cast("long").alias("n_shouts"),
+            F.size(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))).cast("long").alias("n_distinct"),
+            F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
         )
-        .drop(tokens)
-    )
+
+    return docs.withColumn(name, let(words(text), measured))
 
 
 def base_failed(f: Column) -> Column:
@@ -86,10 +90,13 @@ def base_failed(f: Column) -> Column:
 
 
 def rules(f: Column) -> dict[str, Column]:
-    """Votes: bad beyond one bound, good within the other, else none."""
+    """Votes: rules on one defect vote bad or abstain, rules on plain prose vote good or abstain."""
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def bad(found: Column) -> Column:
+        return F.when(found, -1).otherwise(0)
+
+    def good(found: Column) -> Column:
+        return F.when(found, 1).otherwise(0)
 
     n, chars = f["n_words"], f["word_chars"]
     mean = chars / n
@@ -97,13 +104,15 @@ def rules(f: Column) -> dict[str, Column]:
     shouts, repeats = f["n_shouts"] / n, f["n_repeat_words"] / n
     distinct, lines = f["n_distinct"] / n, f["n_dup_lines"] / f["n_lines"]
     return {
-        "mean_word_length": vote((mean < 2.5) | (mean > 12), (mean > 3) & (mean < 9)),
-        "symbols": vote(symbols > 0.08, symbols < 0.02),
-        "upper_case": vote(upper > 0.3, upper < 0.12),
-        "shouting": vote(shouts > 0.3, shouts < 0.05),
-        "repeated_words": vote(repeats > 0.3, repeats < 0.1),
-        "distinct_words": vote(distinct < 0.2, distinct > 0.35),
-        "repeated_lines": vote(lines > 0.4, lines < 0.2),
+        "mean_word_length": bad((mean < 2) | (mean > 15)),
+        "symbols": bad(symbols > 0.06),
+        "upper_case": bad(upper > 0.3),
+        "shouting": bad(shouts > 0.3),
+        "repeated_words": bad(repeats > 0.4),
+        "few_words": bad((distinct < 0.15) & (n < 1000)),
+        "repeated_lines": bad(lines > 0.5),
+        "plain_marks": good((symbols < 0.02) & (upper < 0.15) & (shouts < 0.1)),
+        "varied_words": good((repeats < 0.3) & (lines < 0.4)),
     }
 
 
@@ -141,29 +150,35 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> di
     return posterior
 
 
-def judged(docs: DataFrame, name: str = "_quality") -> DataFrame:
-    """docs with a struct column `name`: the features, base_failed, posterior (double), kept (boolean).
+def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The given columns of docs (all, if None) and a struct `quality`: features, base_failed, posterior, kept.
 
-    Documents that fail the base rule are rejected by it and take no part in the estimate.
+    Documents that fail the base rule are rejected by it and take no part in the estimate. The features are written once, as
+    the estimate and the verdicts both need them.
     """
-    found = features(docs, name)
+    name = "quality"
+    while name in docs.columns:
+        name = f"_{name}"
+    votes = f"{name}_votes"
+    columns = docs.columns if columns is None else columns
+    found = features(docs, name).select(*[F.col(f"`{c}`") for c in columns], name)
     f = F.col(name)
-    votes = F.when(~base_failed(f), F.concat_ws(",", *[v.cast("string") for v in rules(f).values()]))
-    voted = found.withColumn(f"{name}_votes", votes)
-    # at most 3 ** 7 rows
-    counts = voted.groupBy(f"{name}_votes").count().filter(F.col(f"{name}_votes").isNotNull()).collect()
-    patterns = sorted((tuple(map(int, r[0].split(","))), r[1]) for r in counts)
-    posterior = fit(patterns)
+    voted = F.when(~base_failed(f), F.concat_ws(",", *[v.cast("string") for v in rules(f).values()]))
+    found = Rounds(docs.sparkSession, "weak-quality").save(found).withColumn(votes, voted)
+    # at most 2 ** 9 rows
+    counts = found.groupBy(votes).count().filter(F.col(votes).isNotNull()).collect()
+    posterior = fit(sorted((tuple(map(int, r[0].split(","))), r[1]) for r in counts))
     table = [F.lit(x) for p, q in posterior.items() for x in (",".join(map(str, p)), q)]
-    chance = F.try_element_at(F.create_map(*table), F.col(f"{name}_votes")) if table else F.lit(None).cast("double")
-    return voted.withColumn(
-        name,
+    chance = F.try_element_at(F.create_map(*table), F.col(votes)) if table else F.lit(None).cast("double")
+    judged_ = (
         f.withField("base_failed", base_failed(f))
         .withField("posterior", chance)
-        .withField("kept", ~base_failed(f) & (F.coalesce(chance, F.lit(0.0)) >= 0.5)),
-    ).drop(f"{name}_votes")
+        .withField("kept", ~base_failed(f) & (F.coalesce(chance, F.lit(0.0)) >= 0.5))
+    )
+    return found.withColumn(name, judged_).drop(votes)
 
 
 def kept_only(docs: DataFrame) -> DataFrame:
     """docs without those that the rules reject."""
-    return judged(docs).filter(F.col("_quality.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = judged(docs)
+    return found.filter(F.col(f"{found.columns[-1]}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
