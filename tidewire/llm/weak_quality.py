@@ -20,9 +20,11 @@ from tidewire.workspace import Rounds
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "".join(map(chr, range(65, 91)))
-#: weights of the prior, as documents: rules are taken to be right more often than wrong
-PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
+#: the estimate's start and prior: shares of votes in good and in bad documents, worth so many documents
+PRIOR_IN_GOOD, PRIOR_IN_BAD, PRIOR_WEIGHT = {-1: 0.02, 1: 0.85}, {-1: 0.3, 1: 0.4}, 20.0
 PRIOR_GOOD = 0.85
+#: a defect's vote is at least so many times likelier in bad documents than in good ones
+BAD_RATIO = 9.0
 ROUNDS = 40
 
 
@@ -126,10 +128,13 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> di
     k, votes = len(patterns[0][0]), (-1, 0, 1)
     share = {}
     total = sum(n for _, n in patterns)
+    prior = {}
     for i in range(k):
-        silent = sum(n for p, n in patterns if p[i] == 0) / total
-        right, wrong = (1 - silent) * 0.9, (1 - silent) * 0.1
-        share[i] = ({-1: wrong, 0: silent, 1: right}, {-1: right, 0: silent, 1: wrong})
+        cast = {p[i] for p, _ in patterns}
+        prior[i] = [{v: x if v in cast else 0.0 for v, x in side.items()} for side in (PRIOR_IN_GOOD, PRIOR_IN_BAD)]
+        for side in prior[i]:
+            side[0] = 1 - side[-1] - side[1]
+        share[i] = [dict(side) for side in prior[i]]
     good, posterior = PRIOR_GOOD, {}
     for _ in range(rounds):
         for p, _ in patterns:
@@ -139,14 +144,19 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> di
                 b += math.log(max(share[i][1][v], 1e-9))
             posterior[p] = 1 / (1 + math.exp(min(700, b - a)))
         weight = sum(posterior[p] * n for p, n in patterns)
-        good = min(0.99, max(0.01, weight / total))
+        good = min(0.97, max(0.03, weight / total))
         for i in range(k):
             for side in (0, 1):
-                sums = {-1: PRIOR_WRONG, 0: 1.0, 1: PRIOR_RIGHT} if side == 0 else {-1: PRIOR_RIGHT, 0: 1.0, 1: PRIOR_WRONG}
+                sums = {v: PRIOR_WEIGHT * x for v, x in prior[i][side].items()}
                 for p, n in patterns:
                     sums[p[i]] += n * (posterior[p] if side == 0 else 1 - posterior[p])
                 whole = sum(sums.values())
                 share[i][side].update({v: sums[v] / whole for v in votes})
+            # what makes a vote: a class never earns the other one's votes more often than that one itself
+            for side, v, least in ((0, -1, BAD_RATIO), (1, 1, 1.0)):
+                most = share[i][1 - side][v] / least
+                share[i][side][0] += max(0.0, share[i][side][v] - most)
+                share[i][side][v] = min(share[i][side][v], most)
     return posterior
 
 
