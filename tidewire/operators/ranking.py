@@ -122,7 +122,7 @@ def candidate_queue(df: DataFrame, analysis: str = "analysis", cap: int | None =
 
 def admission_split(df: DataFrame, analysis: str = "analysis", cap: int = 30) -> tuple[DataFrame, DataFrame]:
     """(admitted queue rows, rows dropped by the daily cap)."""
-    cap = max(0, min(30, cap))
+    cap = max(0, cap)
     admitted = candidate_queue(df, analysis, cap) if cap else candidate_queue(df, analysis, 1).limit(0)
     dropped = df.join(admitted.select("edition", "pos"), ["edition", "pos"], "left_anti")
     return admitted, dropped.withColumn("reason", F.lit("candidate_daily_budget_cap"))
@@ -152,10 +152,9 @@ def call_plan(
 ) -> DataFrame:
     """Breadth-first (round, candidate) calls up to the budget and the first terminal outcome.
 
-    `queue` is the admitted queue (at most 30 rows per edition), so an edition has at most
-    30 x rounds calls.
+    `queue` is the admitted queue, so an edition has at most (rows admitted by its cap) x rounds calls.
     """
-    rounds = min(2, max(1, rounds))
+    rounds = max(1, rounds)
     calls = queue.select("edition", "pos", "queue_pos").withColumn(
         "round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))
     )

@@ -58,7 +58,7 @@ def enrich_edition(
     shifted = candidates.withColumn("_pos", F.col("pos"))
     span = F.lit(1 << 40)
     shifted = shifted.withColumn("pos", F.when(F.col("_late"), F.col("pos") + span).otherwise(F.col("pos")))
-    cap = max(0, min(30, settings.max_total_calls))
+    cap = max(0, settings.max_total_calls)
     queue = work.save(
         Ev.prepare_queue(shifted.drop("_late"), catalog, cap).withColumn("pos", F.col("_pos")).drop("_pos"), "queue"
     )

@@ -259,13 +259,13 @@ def check_summary(spark, sf):
 
 @query("fingerprint_input")
 def fingerprint(spark, sf):
-    rows = Rk.top_k(V.doc_articles(spark, sf), ["edition"], Rk.priority_order(), 10, "selected_rank")
+    rows = Rk.global_rank(V.doc_articles(spark, sf), ["edition"], Rk.priority_order(), "selected_rank")
     return fingerprint_input(rows, ["title", "link", "content"], "offline")
 
 
 def _health(spark, sf, settings, provenance):
     arts = V.articles(spark, sf)
-    captured = arts.filter("pos <= 15").select("edition", "pos", "link", provenance.alias("provenance"))
+    captured = arts.select("edition", "pos", "link", provenance.alias("provenance"))
     editions = arts.select("edition").distinct().select("edition", F.when(F.dayofmonth("edition") % 3 == 0, "blocked").otherwise("published").alias("publication_status"))
     names = ("requested_day", "row_count", "chrome_version", "render_duration_ms", "dom_sha256", "parser_version", "network_requests")
     details = F.create_map(*[x for k in names for x in (F.lit(k), F.col("edition").cast("string") if k == "requested_day" else F.lit("15" if k == "row_count" else "4"))])
@@ -296,7 +296,7 @@ def check_shadow_run(spark, sf):
         F.lit("provider"), F.lit(settings.provider), F.lit("retrieval"), F.lit(settings.retrieval), F.lit("channel"), F.lit("models"), F.lit("channel_rank"), F.col("pos").cast("string"), F.lit("api_day"), F.col("edition").cast("string")
     )
     arts, captured, editions, runs = _health(spark, sf, settings, prov)
-    its = captured.filter("pos <= 3").select("edition", F.concat(F.lit("a"), "pos").alias("article_id"), F.col("link").alias("url"), F.lit("短。").alias("summary"))
+    its = captured.select("edition", F.concat(F.lit("a"), "pos").alias("article_id"), F.col("link").alias("url"), F.lit("短。").alias("summary"))
     markdown = editions.select("edition", F.lit("1. 一\n2. 二\n3. 三：四\n\n入选来源：甲。").alias("body"))
     return Vd.check_shadow_run(editions, runs, captured, arts.filter("pos % 7 <> 0"), its, markdown, settings).select("edition", "subject_id", "rule")
 

@@ -256,8 +256,8 @@ def rank_contiguity(spark, sf):
 
 @query(
     "union_sources",
-    f"""WITH {V.ART}, {V.DOC}, a AS (SELECT edition, title, row_number() OVER (PARTITION BY edition ORDER BY pos) AS r FROM art), d AS (SELECT edition, title, row_number() OVER (PARTITION BY edition ORDER BY pos) AS r FROM doc WHERE doc_id % 7 <> 2),
- u AS (SELECT edition, 0 AS o, r, title FROM a WHERE r <= 5 UNION ALL SELECT edition, 2, r, title FROM d WHERE r <= 14) SELECT edition, row_number() OVER (PARTITION BY edition ORDER BY o, r) AS pos, title FROM u""",
+    f"""WITH {V.ART}, {V.DOC}, a AS (SELECT edition, title, row_number() OVER (PARTITION BY edition ORDER BY pos) AS r FROM art), d AS (SELECT edition, title, row_number() OVER (PARTITION BY edition ORDER BY pos) AS r FROM doc),
+ u AS (SELECT edition, 0 AS o, r, title FROM a WHERE r <= 5 UNION ALL SELECT edition, 2, r, title FROM d) SELECT edition, row_number() OVER (PARTITION BY edition ORDER BY o, r) AS pos, title FROM u""",
 )
 def union_of_sources(spark, sf):
     return _union(spark, sf)[0].select("edition", "pos", "title")
@@ -265,9 +265,9 @@ def union_of_sources(spark, sf):
 
 @query(
     "source_outcomes",
-    f"""WITH {V.ART}, {V.DOC}, e AS (SELECT DISTINCT edition FROM art), a AS (SELECT edition, count(*) AS n FROM art GROUP BY edition), d AS (SELECT edition, count(*) AS n FROM doc WHERE doc_id % 7 <> 2 GROUP BY edition)
+    f"""WITH {V.ART}, {V.DOC}, e AS (SELECT DISTINCT edition FROM art), a AS (SELECT edition, count(*) AS n FROM art GROUP BY edition), d AS (SELECT edition, count(*) AS n FROM doc GROUP BY edition)
  SELECT e.edition, 'pages' AS source, 'ok' AS status, a.n AS fetched_count, least(5, a.n) AS accepted_count FROM e JOIN a USING (edition) UNION ALL SELECT edition, 'gone', 'failed', 0, 0 FROM e
- UNION ALL SELECT e.edition, 'docs', CASE WHEN d.n > 0 THEN 'ok' ELSE 'empty' END, coalesce(d.n, 0), least(14, coalesce(d.n, 0)) FROM e LEFT JOIN d USING (edition)""",
+ UNION ALL SELECT e.edition, 'docs', CASE WHEN d.n > 0 THEN 'ok' ELSE 'empty' END, coalesce(d.n, 0), coalesce(d.n, 0) FROM e LEFT JOIN d USING (edition)""",
 )
 def source_outcomes(spark, sf):
     return _union(spark, sf)[1].select("edition", "source", "status", "fetched_count", "accepted_count")
@@ -275,7 +275,7 @@ def source_outcomes(spark, sf):
 
 def _union(spark, sf):
     pages = V.articles(spark, sf)
-    docs = V.doc_articles(spark, sf).filter("doc_id % 7 <> 2")
+    docs = V.doc_articles(spark, sf)
     enabled = {"pages": True, "gone": True, "docs": True, "off": False}
     return union_sources(pages.select("edition"), {"pages": pages, "docs": docs, "off": docs}, enabled, {"pages": 5})
 
@@ -342,7 +342,7 @@ def write_and_read_edition(spark, sf):
 def markdown_edition(spark, sf):
     """Markdown files written per edition and read back."""
     path = _scratch(spark, "markdown")
-    items = Rk.top_k(V.doc_articles(spark, sf), ["edition"], Rk.priority_order(), 10, "item_no").select(
+    items = Rk.global_rank(V.doc_articles(spark, sf), ["edition"], Rk.priority_order(), "item_no").select(
         "edition", "item_no", F.col("title").alias("summary"), F.lit("").alias("why_it_matters")
     )
     topics = items.select("edition").distinct().withColumn("discussion_topic", F.lit("topic"))
@@ -356,8 +356,9 @@ def read_editions(spark, sf):
     """JSON edition files written per date and read back with the date from the file name."""
     path = _scratch(spark, "json")
     docs = V.doc_articles(spark, sf)
-    rows = Rk.top_k(docs, ["edition"], Rk.priority_order(), 14, "_r")
-    one = rows.groupBy("edition").agg(F.to_json(F.struct(F.collect_list(F.struct("title", "link", "content", "source", "priority")).alias("articles"))).alias("value"))
+    rows = Rk.global_rank(docs, ["edition"], Rk.priority_order(), "_r")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_r", "title", "link", "content", "source", "priority"))), lambda x: x.dropFields("_r"))
+    one = rows.groupBy("edition").agg(F.to_json(F.struct(items.alias("articles"))).alias("value"))
     one.repartition("edition").write.partitionBy("edition").text(path)
     back = spark.read.option("recursiveFileLookup", False).text(path)
     shape = Se.edition_schema()

@@ -274,13 +274,11 @@ def collapse_story_clusters_v2(spark, sf):
     return members.select("edition", "pos", "representative_pos", "reason")
 
 
-_HIST = "hist AS (SELECT edition, link AS url FROM (SELECT edition, link, row_number() OVER (PARTITION BY edition ORDER BY priority DESC, pos) AS r FROM doc) WHERE r <= 40)"
+_HIST = "hist AS (SELECT edition, link AS url FROM doc)"
 
 
 def history(spark, sf, rows):
-    from tidewire.operators.ranking import priority_order, top_k
-
-    return top_k(rows, ["edition"], priority_order(), 40, "_r").select("edition", F.col("link").alias("url"))
+    return rows.select("edition", F.col("link").alias("url"))
 
 
 @query(

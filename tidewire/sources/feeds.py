@@ -26,12 +26,13 @@ def parse_atom_feed(
 ) -> DataFrame:
     """raw: (edition, payload). Entries with a usable title, date and article link, in feed order."""
     feed = F.from_xml("payload", _ATOM, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
-    rows = raw.select("edition", F.posexplode(feed["entry"]).alias("_i", "e"))
+    rows = raw.select("edition", F.xxhash64("payload").alias("_p"), F.posexplode(feed["entry"]).alias("_i", "e"))
     e = F.col("e")
     alternate = F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     rows = rows.select(
         "edition",
         "_i",
+        "_p",
         clean_html_fragment(e["title"]).alias("title"),
         strip(F.try_element_at(alternate, F.lit(1))["_href"]).alias("link"),
         strip(e["published"]).alias("publish_time"),
@@ -44,7 +45,8 @@ def parse_atom_feed(
         & domain_of("link").isin(*hosts)
         & ~path_of("link").isin("", "/")
     )
-    first = top_k(rows.filter(ok), ["edition", "link"], [F.col("_i").asc()], 1, "_r")
+    # of equal places in several payloads the hash decides, so that reruns agree
+    first = top_k(rows.filter(ok), ["edition", "link"], [F.col("_i").asc(), F.col("_p").asc(), F.col("title").asc()], 1, "_r")
     return first.select(
         "edition",
         F.col("_i").cast("long").alias("pos"),

@@ -37,13 +37,14 @@ def parse_homepage_links(
     base_url: str,
     site: str,
     source: str = "techcrunch",
-    years: tuple[str, ...] = ("2024", "2025", "2026"),
+    years: tuple[str, ...] | None = None,
     reference: str = "reference_ts",
 ) -> DataFrame:
     """Title-only leads. links: (edition, ordinal, href, label, reference_ts)."""
     url = F.when(F.col("href") == "", "").otherwise(absolute_url(F.col("href"), F.lit(base_url)))
-    dated = F.lit(False)
-    for y in years:
+    # without given years any dated path counts
+    dated = F.lit(False) if years else F.col("link").rlike("/(?:19|20)[0-9]{2}/")
+    for y in years or ():
         dated = dated | F.col("link").contains(f"/{y}/")
     rows = links.withColumn("link", url).filter(
         (F.length("label") >= 10) & F.col("link").contains(site) & dated

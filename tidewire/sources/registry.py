@@ -18,11 +18,12 @@ def union_sources(
     sources: dict[str, DataFrame],
     enabled: dict[str, bool],
     caps: dict[str, int] | None = None,
-    default_cap: int = 14,
+    default_cap: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(articles numbered across sources, source_runs). Unknown enabled names become failed runs.
 
-    editions: (edition), the runs to report on. Caps keep the first rows of a source per edition.
+    editions: (edition), the runs to report on. Caps keep the first rows of a source per edition; without one all rows
+    stay. `beyond_caps` returns what caps leave out.
     """
     caps = caps or {}
     names = [n for n, on in enabled.items() if on]
@@ -33,7 +34,8 @@ def union_sources(
         rows = conform_articles(sources[name]).withColumn("source_ordinal", F.lit(ordinal))
         rows = rows.withColumn("_source_name", F.lit(name))
         fetched.append(rows.select("edition", "_source_name"))
-        parts.append(top_k(rows, ["edition"], [F.col("pos").asc()], caps.get(name, default_cap), "_r").drop("_r"))
+        cap = caps.get(name, default_cap)
+        parts.append(rows if cap is None else top_k(rows, ["edition"], [F.col("pos").asc()], cap, "_r").drop("_r"))
     plan = F.array(*[F.struct(F.lit(n).alias("source"), F.lit(n in sources).alias("known")) for n in names])
     runs = editions.select("edition").distinct().select("edition", F.inline(plan))
     if not parts:
@@ -52,14 +54,27 @@ def union_sources(
         .na.fill(0, ["fetched_count", "accepted_count"])
     )
     order = [F.col("source_ordinal").asc(), F.col("pos").asc()]
-    # caps bound an edition to (sources x cap) rows
-    numbered = global_rank(every, ["edition"], order, "_no") if _unbounded(caps, default_cap) else top_k(every, ["edition"], order, 1000, "_no")
+    numbered = global_rank(every, ["edition"], order, "_no")
     numbered = numbered.withColumn("pos", F.col("_no").cast("long")).drop("_no", "source_ordinal", "_source_name")
     return numbered, _outcomes(runs)
 
 
-def _unbounded(caps: dict[str, int], default_cap: int) -> bool:
-    return sum(caps.values()) + default_cap * 10 > 1000
+def beyond_caps(
+    sources: dict[str, DataFrame], enabled: dict[str, bool], caps: dict[str, int], default_cap: int | None = None
+) -> DataFrame:
+    """Rows that the caps of `union_sources` leave out, with the reason."""
+    cut = None
+    for name, on in enabled.items():
+        cap = caps.get(name, default_cap)
+        if not on or name not in sources or cap is None:
+            continue
+        rows = conform_articles(sources[name])
+        kept = top_k(rows, ["edition"], [F.col("pos").asc()], cap, "_r").select("edition", "pos")
+        over = rows.join(kept, ["edition", "pos"], "left_anti").withColumns({"source_name": F.lit(name), "reason": F.lit("source_cap")})
+        cut = over if cut is None else cut.unionByName(over)
+    if cut is None:
+        raise ValueError("no enabled source has a cap")
+    return cut
 
 
 def _outcomes(runs: DataFrame) -> DataFrame:
