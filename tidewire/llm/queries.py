@@ -30,6 +30,35 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+OP2_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_words_sql(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+ s AS (SELECT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+  UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 2),
+ c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ e AS (SELECT x.a, x.b FROM x JOIN c ca ON ca.doc_id = x.a JOIN c cb ON cb.doc_id = x.b WHERE 100 * x.i >= 90 * (ca.n + cb.n - x.i)),
+ t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r AS (SELECT a AS doc_id, b AS reach FROM t UNION SELECT r.doc_id, t.b FROM r JOIN t ON r.reach = t.a),
+ m AS (SELECT doc_id, min(reach) AS lowest FROM r GROUP BY doc_id)
+ SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(least(w.doc_id, m.lowest), w.doc_id) AS component_id
+ FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""
+
+OP4_SQL = f"""WITH w AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS ws FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+ o AS (SELECT g, min(doc_id) AS owner FROM g GROUP BY g),
+ r AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT g.doc_id, g.i, unnest(range(0, 13)) AS j FROM g JOIN o ON g.g = o.g WHERE o.owner < g.doc_id)),
+ p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+ k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.p) AS t, count(*) AS n FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.p = r.p WHERE r.p IS NULL GROUP BY p.doc_id)
+ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(len(w.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+ FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+
 @query("op1_token_files")
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.token_files import token_digest, tokens_path, write_tokens
@@ -39,7 +68,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, path)
 
 
-@query("op2_ngram_jaccard_join")
+@query("op2_ngram_jaccard_join", OP2_SQL)
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.ngram_join import ngram_components
 
@@ -62,7 +91,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", OP4_SQL)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.substring import without_repeats
 
