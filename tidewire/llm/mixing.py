@@ -86,7 +86,8 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame
     """One row per (source, shard): source_size, target, shard words, quota of words."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     found = targets(sizes, weights, repeats)
-    total = F.sum("target").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    # targets add up to all words; the integer sum does not depend on the order of rows
+    total = F.sum("source_size").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     found = found.withColumn("_blocks", F.round(total / BLOCK).cast("long"))
     found = found.withColumn("_g", F.lit(0))
     seats = apportion(

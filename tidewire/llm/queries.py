@@ -59,6 +59,34 @@ OP4_SQL = f"""WITH w AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS ws
  FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
 
+def _seeded_sql(salt: str) -> str:
+    return f"CAST('0x' || substr(md5('mix-1:{salt}:' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 8) AS BIGINT)"
+
+
+OP5_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(len({_words_sql("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+ z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
+ w AS (SELECT *, 3 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM z),
+ f AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place,
+  (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
+ l AS (SELECT arg_min(level, place) AS level FROM f WHERE cap > level * weight),
+ t AS (SELECT source, source_size, n, least(CAST(cap AS DOUBLE), coalesce(l.level * weight, CAST(cap AS DOUBLE))) AS target, CAST(round(sum(source_size) OVER () / 8) AS BIGINT) AS blocks, count(*) OVER () AS parties FROM f, l),
+ q AS (SELECT source, blocks, k, target / (2 * k + 1) AS quotient FROM (SELECT *, unnest(range(0, CAST(target / 8 AS BIGINT) + parties + 2)) AS k FROM t WHERE target > 0)),
+ s AS (SELECT source, count(*) AS seats FROM (SELECT source, blocks, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, k) AS r FROM q) WHERE r <= blocks GROUP BY source),
+ p AS (SELECT d.doc_id, d.size, d.source, t.source_size, t.target, coalesce(s.seats, 0) AS seats,
+  {_seeded_sql("shard")} % CAST(greatest(ceil(greatest(t.source_size / 1000000, t.n / 2000)), 1) AS BIGINT) AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+ h AS (SELECT source, shard, seats, CAST(sum(size) AS BIGINT) AS shard_size FROM p GROUP BY source, shard, seats),
+ i AS (SELECT *, count(*) OVER (PARTITION BY source) AS parties, sum(shard_size) OVER (PARTITION BY source) AS whole FROM h),
+ u AS (SELECT source, shard, seats, k, shard_size / (2 * k + 1) AS quotient FROM (SELECT *, unnest(range(0, CAST(shard_size * seats / whole AS BIGINT) + parties + 2)) AS k FROM i WHERE shard_size > 0)),
+ v AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard, k) AS r FROM u) WHERE r <= seats GROUP BY source, shard),
+ o AS (SELECT p.*, h.shard_size, least(8 * coalesce(v.quota, 0), 3 * h.shard_size) AS quota,
+  sum(p.size) OVER (PARTITION BY p.source, p.shard ORDER BY {_seeded_sql("order").replace("doc_id", "p.doc_id")}, p.doc_id, p.size ROWS UNBOUNDED PRECEDING) - p.size AS before
+  FROM p JOIN h ON p.source IS NOT DISTINCT FROM h.source AND p.shard = h.shard LEFT JOIN v ON p.source IS NOT DISTINCT FROM v.source AND p.shard = v.shard),
+ x AS (SELECT *, CASE WHEN shard_size > 0 THEN quota // shard_size ELSE 0 END AS passes FROM o)
+ SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, quota - passes * shard_size - before)) AS BIGINT) AS taken, source FROM x"""
+
+
 @query("op1_token_files")
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.token_files import token_digest, tokens_path, write_tokens
@@ -84,7 +112,7 @@ def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"quality.{f}" for f in fields])
 
 
-@query("op5_source_mix")
+@query("op5_source_mix", OP5_SQL)
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.mixing import mixed
 
