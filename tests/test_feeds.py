@@ -195,7 +195,45 @@ def test_streams(spark, tmp_path):
     assert run(St.stream_recent_dedupe(stream()), "dedupe").count() == 3
     daily = run(St.stream_daily_diagnostics(stream(), "published_at"), "daily", "complete")
     assert daily.agg(F.sum("n")).first()[0] == 6
+
+
+def test_stream_close_delivers_each_day_once_and_whole(spark, tmp_path):
+    src, base = str(tmp_path / "in"), dt.datetime(2026, 7, 18, 12)
+    schema = "link string, published_at timestamp, tags map<string,string>"
+
+    def land(*hours):
+        rows = [(f"https://h.test/{h}", base + dt.timedelta(hours=h), {"a": str(h)}) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+
     seen = []
-    q = St.stream_edition_close(stream(), lambda batch, i: seen.append(batch.count()), str(tmp_path / "close"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = St.stream_edition_close(stream, lambda rows, i: seen.append(sorted(r.link[15:] for r in rows.collect())), str(tmp_path / "ck"), str(tmp_path / "store"))
+        q.awaitTermination()
+
+    # one day in two batches, the next day opens without closing it
+    land(0, 1, -2)
+    land(5)
+    land(13)
+    run()
+    assert seen == []
+    # a restart with a row beyond the grace period: the day comes whole
+    land(19)
+    run()
+    assert seen == [["-2", "0", "1", "5"]]
+    # a late row of the closed day is not delivered, the next day is
+    land(2, 43)
+    run()
+    assert seen[1:] == [["13", "19"]]
+
+
+def test_stream_dedupe_takes_map_columns(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [("https://h.test/a", "t", {"x": "1"}), ("https://h.test/a", "t", {"x": "2"}), ("", "t", {"x": "1"}), ("", "t", {"x": "2"})]
+    df = spark.createDataFrame(rows, "link string, title string, provenance map<string,string>").withColumn("published_at", F.lit("2026-07-18 12:00:00").cast("timestamp"))
+    df.write.parquet(src)
+    out = St.stream_recent_dedupe(spark.readStream.schema(df.schema).parquet(src))
+    q = out.writeStream.format("memory").queryName("maps").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sum(seen) == 6
+    assert spark.table("maps").count() == 3

@@ -77,11 +77,13 @@ def match_evidence(
     flagged = flag_relevant(candidates, gate_evidence(results, settings), catalog)
     flagged = save_once(flagged.withColumn("_url", compact_text("url")), "evidence")
     key = ["edition", "pos"]
+    work = Rounds(flagged.sparkSession, "match-evidence")
     accepted: DataFrame | None = None
     decided: DataFrame | None = None
     for number in range(1, settings.rounds + 1):
         rows = flagged.filter(F.col("round") == number)
-        eligible = rows.filter("relevant and evidence_ok")
+        # texts stay out of the joins
+        eligible = rows.filter("relevant and evidence_ok").select(*key, "round", "rank", "_url")
         if accepted is not None:
             eligible = eligible.join(accepted.select(*key, "_url"), [*key, "_url"], "left_anti")
         fresh = top_k(eligible, [*key, "_url"], [F.col("rank").asc()], 1, "_u")
@@ -96,6 +98,8 @@ def match_evidence(
                 taken = fresh.join(have, key, "left")
             room = F.greatest(F.lit(1), F.lit(stop_at) - F.coalesce("_have", F.lit(0)))
             taken = taken.withColumn("_allowed", room).filter(F.col("_n") <= F.col("_allowed"))
+        # written, so that a later round reads this one instead of planning it again
+        taken = work.save(taken.select(*key, "round", "rank", "_url", "_n", "_allowed"), f"taken{number}")
         cut = taken.filter(F.col("_n") == F.col("_allowed")).select(*key, F.col("rank").alias("_cut"))
         picked = taken.select(*key, "round", "rank", "_url")
         outcome = (

@@ -37,7 +37,7 @@ def stream_recent_dedupe(stream: DataFrame, days: int = 3, ts: str = "published_
     Rows without a usable URL are never duplicates of each other and get a key of their own.
     """
     url = canonical_story_url("link")
-    own = F.concat(F.lit("\0"), F.xxhash64(*stream.columns).cast("string"), F.lit("\0"), text("title"))
+    own = F.concat(F.lit("\0"), F.xxhash64(F.to_json(F.struct(*stream.columns))).cast("string"), F.lit("\0"), text("title"))
     keyed = stream.withColumn("url_key", F.when(url != "", url).otherwise(own))
     return keyed.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(["url_key"])
 
@@ -53,13 +53,44 @@ def stream_daily_diagnostics(stream: DataFrame, ts: str = "ts", late: str = "1 d
 
 
 def stream_edition_close(
-    stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str, name: str = "edition-close"
+    stream: DataFrame,
+    job: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    store: str,
+    ts: str = "published_at",
+    grace_hours: int = 6,
+    name: str = "edition-close",
 ):
-    """Run the batch job on every batch of closed days until the input is exhausted."""
+    """Run the batch job on all rows of a day once the day is closed, however many batches they came in.
+
+    Batches land in `store`, split by day; a batch that is tried again overwrites its own files. A day is closed when a row
+    from `grace_hours` after its end has been seen; the job then gets every landed row of the closed days, once. Days
+    still open stay landed for a later run. Rows of a day that come after its close are landed and never delivered.
+    Rows without a time belong to no day and are landed under a null day.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], "day date").write.mode("overwrite").parquet(f"{store}/closed/batch=-1")
+
+    def close(batch: DataFrame, number: int) -> None:
+        landed, closed = f"{store}/landed", f"{store}/closed"
+        batch.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(f"{landed}/batch={number}")
+        session = batch.sparkSession
+        if batch.isEmpty():
+            return
+        rows = session.read.parquet(landed).withColumn("day", F.col("day").cast("date"))
+        latest = F.lit(rows.agg(F.max(ts)).first()[0]).cast("timestamp")
+        over = F.col("day").cast("timestamp") + F.make_dt_interval(days=F.lit(1), hours=F.lit(grace_hours)) <= latest
+        done = session.read.parquet(closed).select("day")
+        ready = rows.select("day").distinct().filter(over).join(done, "day", "left_anti")
+        ready = session.createDataFrame(ready.collect(), "day date")  # one row per closed day
+        if not ready.isEmpty():
+            job(rows.join(F.broadcast(ready), "day", "left_semi").drop("day", "batch"), number)
+            ready.write.mode("overwrite").parquet(f"{closed}/batch={number}")
+
     return (
         stream.writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(job)
+        .foreachBatch(close)
         .start()
     )
