@@ -413,7 +413,7 @@ def accept_refill(
         D.within_hours(D.parse_published("published_date"), "reference_ts", settings.strict_hours),
     )
     rows = work.save(rows.drop("_ta", "_norm"), "rows")
-    known = prior.select("edition", "title", "url").withColumn("order", F.lit(0))
+    known = prior.select("edition", "title", "url").withColumn("order", F.lit(0).cast("long"))
     decided: DataFrame | None = None
     left = needed
     for number in range(1, settings.max_refill_rounds + 1):
@@ -475,7 +475,7 @@ def accept_refill(
         decided = marked if decided is None else decided.unionByName(marked)
         fresh = marked.filter("accepted")
         known = known.unionByName(
-            fresh.select("edition", "title", "url", (F.lit(number * 1_000_000) + F.col("rank")).cast("int").alias("order"))
+            fresh.select("edition", "title", "url", (F.lit(number << 40) + F.col("rank")).alias("order"))
         )
         got = fresh.groupBy("edition").agg(F.count(F.lit(1)).alias("_got"))
         left = left.join(got, "edition", "left").select(
