@@ -40,14 +40,11 @@ SHAPES = {
     "name": "(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}+",
 }
 ANY = "(" + "|".join(f"(?:{p})" for p in SHAPES.values()) + ")"
-#: what a text must hold to be searched at all
-HINT = r"[0-9]{2}|@|" + "|".join(MALE + FEMALE)
 ATTEMPTS, EXTEND = 64, 4
 
 
 def mentions(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(1))
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(1))
 
 
 def kind_of(mention: Column) -> Column:
