@@ -1,11 +1,14 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import frame, prose, words_of
 from tidewire.llm import substring
 from tidewire.llm.substring import repeated_spans, without_repeats
+from tidewire.llm.words import words_of as split_words
 
 
 def brute(rows, k=13):
@@ -63,3 +66,37 @@ def test_spans_compact_and_edge_cases(spark):
     assert spans == [(5, 0, 188, 1, 0)]
     assert rows(without_repeats(df)) == brute([(1, text), (5, text), (5, text), (6, None), (None, text)])
     assert rows(without_repeats(frame(spark, []))) == []
+
+
+def test_windows_that_share_an_anchor_and_half_a_print_differ(spark):
+    """Two different windows on one anchor whose prints agree in their upper 32 bits: no repeat."""
+    rng = random.Random(5)
+    heads = [" ".join(f"h{rng.randrange(10**6)}" for _ in range(6)) for _ in range(300)]
+
+    def edges(texts):
+        raw = "".join(texts).encode()
+        return substring._edges(split_words(np.frombuffer(raw, np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))), 13)
+
+    mers = [int(substring.window_hashes(split_words(np.frombuffer(h.encode(), np.uint8), np.array([0, len(h)])).hashes(), 6)[0]) for h in heads]
+    head = heads[int(np.argmin(mers))]
+    texts = [head + "".join(f" t{rng.randrange(10**5)}" for _ in range(7)) for _ in range(300_000)]
+    _, rows_, anchors, _, prints = edges(texts)
+    upper = (prints >> np.uint64(32)) if prints.dtype == np.uint64 else prints
+    seen, pair = {}, None
+    for row, anchor, half in zip(rows_.tolist(), anchors.tolist(), upper.tolist(), strict=True):
+        other = seen.setdefault((anchor, half), row)
+        if other != row and texts[other] != texts[row]:
+            pair = [texts[other], texts[row]]
+            break
+    assert pair
+    for verify in (False, True):
+        assert [r[2] for r in rows(without_repeats(frame(spark, pair), verify=verify))] == [0, 0]
+
+
+def test_only_windows_equal_at_the_owner_are_removed():
+    text = [f"w{i}" for i in range(40)]
+    other = text[:20] + ["x"] + text[21:]
+    span = [{"word": 0, "length": 28, "passage": " ".join(other)}]
+    kind = pa.list_(pa.struct([("word", pa.int32()), ("length", pa.int32()), ("passage", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([2]), pa.array([" ".join(text)]), pa.array([span], kind)], ["doc_id", "text", "_spans"])
+    assert next(substring._without(13)(iter([batch]))).column(4).to_pylist() == ["w20"]

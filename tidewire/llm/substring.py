@@ -2,16 +2,17 @@
 
 Every window of k words is an edge of the graph. Along a text, edges whose smallest (k - span + 1)-mer stands in the same place form
 an unbranched stretch with that m-mer as its anchor; equal windows always have equal anchors. Stretches (anchor hash, doc_id, place,
-one 32-bit print per edge) are dealt by anchor instead of single edges, which makes about an eighth of the rows.
+one 64-bit print per edge) are dealt by anchor instead of single edges, which makes about an eighth of the rows.
 
 1. In a task: equal edges of a run of documents keep their smallest doc_id only; all others are known to be repeats.
-2. By anchor: equal edges (anchor, offset to the anchor, print) of different documents; those beyond the smallest doc_id are
+2. By anchor: equal edges (anchor, print) of different documents; those beyond the smallest doc_id are
    repeats of it. A hot passage arrives once per run of documents, not once per document.
 3. Neighbouring repeated edges of one document with the same owner on the same diagonal compact into one span, and
-   the spans are joined to their document by coordinates; with verify=True they are also joined to the owner's text,
-   which must hold the same words there.
+   the spans are joined to their document by coordinates. The words at the owner's coordinates are fetched for the spans
+   found, and only windows whose 13 words are the same there are removed (verify=False skips that).
 
-Two windows count as equal if a 64-bit and a 32-bit hash agree. Nulls: a null text has no words; a row with a null doc_id is
+Two windows are candidates if two 64-bit hashes agree. The anchor's covers only 6 of the words, so windows that share it are
+told apart by the other 64 bits. Nulls: a null text has no words; a row with a null doc_id is
 returned unchanged and owns nothing. Repeated rows and rows with equal doc_ids are one document's texts: they never
 remove words of each other. Empty tables give no rows; further columns of the input are ignored. Windows never cross texts.
 """
@@ -34,6 +35,8 @@ from tidewire.workspace import Rounds
 ANCHOR = 6
 #: bytes of text whose edges a task compares among themselves
 RUN_BYTES = 8 << 20
+#: parts in which a passage is handed to the documents that repeat it
+PASSAGE_PARTS = 64
 
 _STRETCH = "anchor long, doc_id long, word int, prints binary"
 _SPAN = "doc_id long, word int, length int, owner long, owner_word int"
@@ -44,7 +47,7 @@ def _edges(words: Words, k: int) -> tuple[np.ndarray, ...]:
     hashes = words.hashes()
     starts, rows = starts_in_rows(words.first, k)
     if not len(starts):
-        return starts, rows, np.zeros(0, np.uint64), starts, np.zeros(0, np.uint32)
+        return starts, rows, np.zeros(0, np.uint64), starts, np.zeros(0, np.uint64)
     mers = window_hashes(hashes, ANCHOR)
     width = k - ANCHOR + 1
     best, place = mers[: len(mers) - width + 1].copy(), np.zeros(len(mers) - width + 1, np.int64)
@@ -53,7 +56,7 @@ def _edges(words: Words, k: int) -> tuple[np.ndarray, ...]:
         less = other < best
         best[less] = other[less]
         place[less] = j
-    prints = (window_hashes(hashes, k, salt=7) >> np.uint64(32)).astype(np.uint32)
+    prints = window_hashes(hashes, k, salt=7)
     return starts, rows, best[starts], place[starts], prints[starts]
 
 
@@ -91,7 +94,7 @@ def _stretches(k: int):
                 return
             starts, docs, best, place, prints = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            owner, _ = _owners(best, (place.astype(np.uint64) << np.uint64(32)) | prints, docs, starts)
+            owner, _ = _owners(best, prints, docs, starts)
             repeat = docs[owner] != docs
             order = np.flatnonzero(repeat)
             order = order[np.lexsort((starts[order], docs[order]))]
@@ -116,16 +119,9 @@ def _stretches(k: int):
             new = np.append(True, (docs[1:] != docs[:-1]) | (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)) if len(docs) else np.zeros(0, bool)
             begin = np.flatnonzero(new)
             length = np.diff(np.append(begin, len(docs)))
-            # each edge: a byte for the anchor's offset, four for the print
-            body = np.empty((len(docs), 5), np.uint8)
-            body[:, 0] = place
-            body[:, 1:] = prints.view(np.uint8).reshape(-1, 4)
-            keep = np.ones((len(docs), 5), bool)
-            keep[~new, 0] = False  # offsets count down inside a stretch
-            flat = body[keep]
-            bounds = np.append(0, np.cumsum(1 + 4 * length)).astype(np.int32)
+            bounds = np.append(0, np.cumsum(8 * length)).astype(np.int32)
             packed = pa.BinaryArray.from_buffers(
-                pa.binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat))]
+                pa.binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(prints))]
             )
             n = len(begin)
             for lo in range(0, n, 50_000):
@@ -167,16 +163,15 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packed = table.column("prints").chunk(0)
     bounds = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
     raw = np.frombuffer(packed.buffers()[2], np.uint8)
-    length = (np.diff(bounds) - 1) // 4
+    length = np.diff(bounds) // 8
     rows = np.repeat(np.arange(len(length)), length)
     inner = np.arange(len(rows)) - np.repeat(np.cumsum(length) - length, length)
-    offset = raw[bounds[:-1]][rows].astype(np.int64) - inner
-    prints = raw[ragged(bounds[:-1] + 1, 4 * length)].view(np.uint32)
+    prints = raw[bounds[0] : bounds[-1]].copy().view(np.uint64)
     anchor = np.asarray(table.column("anchor")).view(np.uint64)[rows]
     doc = np.asarray(table.column("doc_id"))[rows]
     word = np.asarray(table.column("word")).astype(np.int64)[rows] + inner
     del table, packed, raw, held
-    owner, _ = _owners(anchor, (offset.astype(np.uint64) << np.uint64(32)) | prints, doc, word)
+    owner, _ = _owners(anchor, prints, doc, word)
     repeat = np.flatnonzero(doc[owner] != doc)
     repeat = repeat[np.lexsort((word[repeat], doc[repeat]))]
     yield _spans(doc[repeat], word[repeat], doc[owner[repeat]], word[owner[repeat]])
@@ -227,6 +222,22 @@ def _compacted(spans: DataFrame) -> DataFrame:
     ).select("doc_id", "word", "length", "owner", "owner_word")
 
 
+def _joined(own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Some words of a text, joined by one space."""
+    body = own[ragged(starts, ends - starts)]
+    text = np.full(len(body) + max(0, len(starts) - 1), 32, np.uint8)
+    at = np.arange(len(body)) + np.repeat(np.arange(len(starts)), ends - starts)
+    text[at] = body
+    return text.tobytes()
+
+
+def _same_windows(mine: bytes, theirs: bytes, k: int) -> np.ndarray:
+    """Where k words in a row are the same in both passages."""
+    equal = np.array([x == y for x, y in zip(mine.split(b" "), theirs.split(b" "), strict=False)], bool)
+    sums = np.append(0, np.cumsum(equal))
+    return np.flatnonzero(sums[k:] - sums[:-k] == k)
+
+
 def _without(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,6 +246,7 @@ def _without(k: int):
             span_bounds = np.asarray(spans.offsets).astype(np.int64)
             begin = np.asarray(spans.values.field(0))
             length = np.asarray(spans.values.field(1))
+            passages = spans.values.field(2)
             filled = np.asarray(spans.is_valid())
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for i in range(batch.num_rows):
@@ -242,19 +254,20 @@ def _without(k: int):
                 words = words_of(own, np.array([0, len(own)], np.int64))
                 count = len(words.starts)
                 gone = np.zeros(count + 1, np.int64)
-                if filled[i]:
-                    lo, hi = span_bounds[i], span_bounds[i + 1]
-                    np.add.at(gone, begin[lo:hi], 1)
-                    np.add.at(gone, np.minimum(begin[lo:hi] + length[lo:hi] + k - 1, count), -1)
+                for j in range(span_bounds[i], span_bounds[i + 1]) if filled[i] else ():
+                    first, last = int(begin[j]), min(int(begin[j]) + int(length[j]) + k - 1, count)
+                    theirs = passages[j].as_py()
+                    if theirs is None:
+                        same = np.arange(max(0, last - first - k + 1))
+                    else:
+                        mine, theirs = _joined(own, words.starts[first:last], words.ends[first:last]), theirs.encode()
+                        same = np.arange(last - first - k + 1) if mine == theirs else _same_windows(mine, theirs, k)
+                    np.add.at(gone, first + same, 1)
+                    np.add.at(gone, first + same + k, -1)
                 kept = np.cumsum(gone)[:count] == 0
-                starts, ends = words.starts[kept], words.ends[kept]
-                body = own[ragged(starts, ends - starts)]
-                text = np.full(len(body) + max(0, len(starts) - 1), 32, np.uint8)
-                at = np.arange(len(body)) + np.repeat(np.arange(len(starts)), ends - starts)
-                text[at] = body
-                text = text.tobytes()
+                text = _joined(own, words.starts[kept], words.ends[kept])
                 n_words.append(count)
-                n_removed.append(count - len(starts))
+                n_removed.append(count - int(kept.sum()))
                 digests.append(hashlib.sha256(text).hexdigest())
                 kept_texts.append(text.decode())
             yield pa.RecordBatch.from_arrays(
@@ -271,22 +284,56 @@ def _without(k: int):
     return run
 
 
-def _verified(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
-    """Spans whose words equal those at the owner's coordinates, compared as text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "").alias("_words"))
-    words = lambda word: F.slice("_words", F.col(word) + 1, F.col("length") + k - 1)
-    left = spans.join(rows, F.col("doc_id") == F.col("_id")).select(*spans.columns, words("word").alias("_left"))
-    right = left.join(rows, F.col("owner") == F.col("_id")).filter(F.col("_left") == words("owner_word"))
-    return right.select(*spans.columns).distinct()
+def _passages(k: int):
+    """The words of an owner at the places asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_owner", "_owner_word", "_length", "_part", "passage"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        rows, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(1))
+            for i, (owner, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = raw[offsets[i] : offsets[i + 1]]
+                words = words_of(own, np.array([0, len(own)], np.int64))
+                for place in places:
+                    at = slice(place["owner_word"], place["owner_word"] + place["length"] + k - 1)
+                    passage = _joined(own, words.starts[at], words.ends[at]).decode()
+                    rows.append((owner, place["owner_word"], place["length"], place["_part"], passage))
+                    size += len(passage)
+                    if size >= 4 << 20:
+                        yield flush()
+                        size = 0
+        yield flush()
+
+    return run
+
+
+def _with_passages(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """Spans with the words that stand at the owner's coordinates; a passage of many documents is handed out in parts."""
+    spans = spans.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PASSAGE_PARTS)).cast("int"))
+    places = spans.select("owner", "owner_word", "length", "_part").distinct()
+    places = places.groupBy("owner").agg(F.collect_list(F.struct("owner_word", "length", "_part")).alias("_places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    asked = texts.join(places, F.col("_id") == F.col("owner")).select("owner", "text", "_places")
+    schema = "_owner long, _owner_word int, _length int, _part int, passage string"
+    found = asked.mapInArrow(_passages(k), schema).withColumnRenamed("_part", "_of_part")
+    same = [F.col("owner") == F.col("_owner"), F.col("owner_word") == F.col("_owner_word"), F.col("length") == F.col("_length"), F.col("_part") == F.col("_of_part")]
+    return spans.join(found, same).select("doc_id", "word", "length", "passage")
 
 
-def without_repeats(docs: DataFrame, k: int = 13, verify: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = 13, verify: bool = True) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space)."""
     spans = repeated_spans(docs, k)
-    if verify:
-        spans = _verified(docs, spans, k)
+    spans = _with_passages(docs, spans, k) if verify else spans.withColumn("passage", F.lit(None).cast("string"))
     # spans of one document are bound by its own length
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("word", "length")).alias("_spans"))
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("word", "length", "passage")).alias("_spans"))
     lists = lists.withColumnRenamed("doc_id", "_of")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(lists, F.col("doc_id") == F.col("_of"), "left").select("doc_id", "text", "_spans")
