@@ -1,10 +1,12 @@
+import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import frame, prose, words_of
 from tidewire.llm import decontaminate
-from tidewire.llm.decontaminate import DIFFERENCE, LEAST, leaks, without_leaks
+from tidewire.llm.decontaminate import DIFFERENCE, LEAST, _best_stretch, leaks, without_leaks
 
 
 def brute(docs, items):
@@ -58,3 +60,30 @@ def test_nulls_and_empty_tables(spark):
     assert [tuple(r)[:3] for r in leaks(df, bench).collect()] == [(None, 1, 5)]
     assert without_leaks(df, bench).count() == 4
     assert leaks(frame(spark, []), bench).collect() == [] and leaks(df, bench.limit(0)).collect() == []
+
+
+def accepted(equal):
+    """The operator's rule on one diagonal."""
+    a, b = _best_stretch(np.array(equal))
+    return sum(equal[a:b]) >= min(LEAST, len(equal))
+
+
+def test_all_changes_of_one_to_three_words(spark):
+    """Documents are a changed item alone, so its ends are the document's."""
+    items = [(n, [f"i{n}w{j}" for j in range(n)]) for n in range(10, 21)]
+    texts, want = [], set()
+    for n, words in items:
+        for c in range(4):
+            for gone in itertools.combinations(range(n), c):
+                if accepted([j not in gone for j in range(n)]):
+                    want.add((len(texts), n))
+                texts.append(" ".join("other" if j in gone else w for j, w in enumerate(words)))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(frame(spark, texts), bench).collect()} == want
+
+
+def test_overlaps_at_the_ends(spark):
+    item = [f"w{j}" for j in range(30)]
+    texts = [" ".join(x) for x in (["a"] * 20 + item[:10], item[-10:] + ["a"] * 20, ["a"] * 20 + item[:11], ["a"] + item[-11:], item[:9])]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in leaks(frame(spark, texts), bench).collect()} == {0, 1, 2, 3}

@@ -1,12 +1,14 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a window of SPAN words of which a mask reads some positions only, so that a replaced word under a gap does not
-matter. The hashes of all benchmark seeds are joined with those of every window of every document; the table of benchmark
+A seed is a short window of which a mask reads some positions only, so that a replaced word under a gap does not
+matter. The masks follow from the rule below and lose nothing: every end part of a best stretch has a positive sum, so its last
+run of equal words, if shorter than 9, has r >= 5 words, one difference before it and at least 9 - r equal words before that.
+Seeds start at every word up to the last that fits. The hashes of all benchmark seeds are joined with those of every window of every document; the table of benchmark
 hashes is broadcast in blocks of at most BLOCK_SEEDS entries, each block in a pass of its own over the documents. Around every
 hit the item is laid on the document along the hit's diagonal and the words are compared one by one. The best stretch
 (a match counts 1, a difference -4) is a leak if it holds at least min(LEAST, words of the item) equal words.
 
-Words are compared with A-Z in lower case. Items shorter than SPAN words are looked for as a whole. Nulls: null texts on
+Words are compared with A-Z in lower case. Items shorter than LEAST words must match as a whole and are looked for as a whole. Nulls: null texts on
 either side hold no words; an item without words is found nowhere; null ids are reported as they are. Repeated rows
 give their rows again, repeated item ids count as one item with several texts. Empty tables give no rows. Further columns are ignored.
 """
@@ -22,13 +24,13 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.words import mix64, word_runs, words_of
 
-SPAN = 12
-#: the positions that each mask reads (fixed values)
+#: the positions that each mask reads: 9 words in a row, or 9 - r and r words around one difference (follows from DIFFERENCE)
 MASKS = (
-    (0, 1, 2, 3, 4, 5, 6, 7),
-    (0, 1, 3, 4, 6, 8, 10, 11),
-    (0, 2, 3, 5, 7, 8, 9, 11),
-    (0, 1, 4, 5, 7, 9, 10, 11),
+    (0, 1, 2, 3, 4, 5, 6, 7, 8),
+    (0, 2, 3, 4, 5, 6, 7, 8, 9),
+    (0, 1, 3, 4, 5, 6, 7, 8, 9),
+    (0, 1, 2, 4, 5, 6, 7, 8, 9),
+    (0, 1, 2, 3, 5, 6, 7, 8, 9),
 )
 LEAST = 10
 DIFFERENCE = -4
@@ -57,10 +59,10 @@ class Seeds:
             if not len(hashes):
                 continue
             self.items.append((item_id, hashes))
-            if len(hashes) < SPAN:
+            if len(hashes) < LEAST:
                 shapes = [(len(hashes), tuple(range(len(hashes))), 100 + len(hashes))]
             else:
-                shapes = [(SPAN, mask, i) for i, mask in enumerate(MASKS)]
+                shapes = [(mask[-1] + 1, mask, i) for i, mask in enumerate(MASKS)]
             for span, mask, salt in shapes:
                 n = len(hashes) - span + 1
                 keys, at = table.setdefault((span, mask, salt), ([], []))
