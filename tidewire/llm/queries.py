@@ -87,6 +87,27 @@ OP5_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(len({_words_sql("coalesce(t
  SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, quota - passes * shard_size - before)) AS BIGINT) AS taken, source FROM x"""
 
 
+OP12_SQL = """WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+ w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+ l AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+ v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM l GROUP BY lang),
+ c AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN l ON w.lang = l.lang AND w.term = l.term GROUP BY ALL),
+ g AS (SELECT d.lang, d.source, coalesce(any_value(v.v), 0) AS v, coalesce(any_value(s.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v ON d.lang = v.lang
+  LEFT JOIN (SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY lang, source) s ON d.lang = s.lang AND d.source = s.source GROUP BY d.lang, d.source),
+ p AS (SELECT g.lang, g.source, l.term, coalesce(c.c, 0) AS c, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1)) // (g.n + g.v) AS BIGINT) AS p
+  FROM g JOIN l ON g.lang = l.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+ q AS (SELECT l.lang, l.term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (l.total + 1)) // (v.n + v.v) AS BIGINT) AS q FROM l JOIN v ON l.lang = v.lang),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pairs.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+ y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+ SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 200"""
+
+
 @query("op1_token_files")
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.token_files import token_digest, tokens_path, write_tokens
@@ -167,3 +188,10 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("entities").alias("n_entities"),
         F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"),
     )
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.divergence import divergences
+
+    return divergences(table(spark, sf_dir, "documents"))

@@ -93,9 +93,9 @@ class Words:
         return mix64(own + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, row: int = 0) -> Words:
+def words_of(raw: np.ndarray, offsets: np.ndarray, row: int = 0, space: np.ndarray = SPACE) -> Words:
     n = len(raw)
-    dark = ~SPACE[raw]
+    dark = ~space[raw]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     if n:
         before[1:] = dark[:-1]
