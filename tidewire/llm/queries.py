@@ -108,6 +108,18 @@ OP12_SQL = """WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS
  SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 200"""
 
 
+OP13_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s
+  FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT a, b, s FROM s WHERE la = lb QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+ SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INTEGER) AS rank,
+  s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+ FROM p JOIN s ON p.a = s.a AND s.la <> s.lb AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s
+ QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) <= 3"""
+
+
 @query("op1_token_files")
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.token_files import token_digest, tokens_path, write_tokens
@@ -195,3 +207,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.divergence import divergences
 
     return divergences(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
