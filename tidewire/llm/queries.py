@@ -214,3 +214,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.hard_negatives import hard_negatives
 
     return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
