@@ -74,3 +74,14 @@ def test_documents_are_repeated_and_empty_table(spark):
     assert out.columns == df.columns and out.filter("doc_id = 500").isEmpty()
     assert 0 < out.count() < 3 * df.count()
     assert mixed(frame(spark, [])).collect() == [] and mixed_documents(frame(spark, [])).collect() == []
+
+
+def test_columns_with_the_plan_s_names_keep_their_values(spark):
+    plain = docs(spark, 2)
+    names = ["_id", "_source", "_size", "_nth", "_copy", "_copies", "_id2", "_row", "size", "taken"]
+    df = plain.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    want = sorted(map(repr, mixed_documents(plain).collect()))
+    out = mixed_documents(df)
+    assert sorted(map(repr, out.select(*plain.columns).collect())) == want
+    assert all(r[n] == f"{n}{'-' if r.doc_id is None else r.doc_id}" for r in out.collect() for n in names)
+    assert mixed_documents(docs(spark).limit(0)).collect() == []

@@ -57,3 +57,13 @@ def test_estimate():
 
 def test_empty_table(spark):
     assert judged(frame(spark, [])).collect() == []
+
+
+def test_columns_with_the_rules_names_keep_their_values(spark):
+    texts = ["word " * 30 + "and the other one " * 20, "a b", None, "", "x y z " * 60_000] * 2
+    df = frame(spark, texts, [1, 2, 3, 4, 5, 1, None, 3, 4, 6])
+    plain = sorted(map(repr, kept_only(df).collect()))
+    clash = df.withColumns({n: F.lit(n) for n in ("quality", "quality_votes", "_quality", "posterior", "kept")})
+    out = kept_only(clash)
+    assert out.columns == clash.columns and sorted(map(repr, out.select(*df.columns).collect())) == plain
+    assert all(r[n] == n for r in out.collect() for n in ("quality", "quality_votes", "_quality", "posterior", "kept"))

@@ -7,7 +7,7 @@ logarithm of the length, by a logistic layer into one probability. Filters and l
 gradient reaches the windows that won the pooling.
 
 Training takes at most TRAIN_ROWS labelled rows of each label, chosen by hash among those with crc32(doc_id as text) mod
-5 != 0; of a training text at most TRAIN_CHUNKS evenly spaced chunks are used (scoring always reads all). Nulls: a null text is an empty one; an
+5 != 0; training and scoring read all chunks of a text. Of several texts under one chosen id the longest is learned from. Nulls: a null text is an empty one; an
 empty text is scored by the bias and length alone; null labels or ids are never learned from. Repeated rows are scored
 alike; an id with several labels is learned with each. Without both labels all scores are 0.5. Further columns are ignored.
 """
@@ -29,7 +29,6 @@ FILTERS = 16
 CHUNK = 512
 FOLDS, HELD_OUT = 5, 0
 TRAIN_ROWS = 1200
-TRAIN_CHUNKS = 6
 EPOCHS = 20
 BATCH = 64
 CUT = 0.3
@@ -159,7 +158,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[list[bytes]]
         own = known.filter(F.col("_label") == label).distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
         chosen = own if chosen is None else chosen.unionByName(own)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the chosen ids are bound by 2 x TRAIN_ROWS, each with at most TRAIN_CHUNKS chunks
+    # the chosen ids are bound by 2 x TRAIN_ROWS
     found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "text")
     table = found.mapInArrow(_training_chunks, "doc_id long, label int, size long, chunks array<binary>")
     table = table.groupBy("doc_id", "label").agg(F.max(F.struct("size", "chunks")).alias("t")).select("doc_id", "label", "t.*").toArrow()
@@ -168,11 +167,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[list[bytes]]
 
 
 def training_chunks(raw: np.ndarray) -> list[bytes]:
-    """At most TRAIN_CHUNKS chunks, evenly spaced over the whole text."""
-    bounds = chunk_bounds(len(raw))
-    if len(bounds) > TRAIN_CHUNKS:
-        bounds = bounds[np.linspace(0, len(bounds) - 1, TRAIN_CHUNKS).astype(int)]
-    return [raw[a:b].tobytes() for a, b in bounds]
+    return [raw[a:b].tobytes() for a, b in chunk_bounds(len(raw))]
 
 
 def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

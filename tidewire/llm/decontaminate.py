@@ -10,7 +10,9 @@ hit the item is laid on the document along the hit's diagonal and the words are
 
 Words are compared with A-Z in lower case. Items shorter than LEAST words must match as a whole and are looked for as a whole. Nulls: null texts on
 either side hold no words; an item without words is found nowhere; null ids are reported as they are. Repeated rows
-give their rows again, repeated item ids count as one item with several texts. Empty tables give no rows. Further columns are ignored.
+give their rows again, repeated item ids count as one item with several texts; of equal stretches the first one counts. Texts are
+read whole. Empty tables give no rows. Further columns are ignored by `leaks` and kept by `without_leaks`, which drops documents
+only for LEAST matched words or more: a shorter item is reported, but its words may stand in any clean document.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.words import mix64, word_runs, words_of
+from tidewire.workspace import Rounds
 
 #: the positions that each mask reads: 9 words in a row, or 9 - r and r words around one difference (follows from DIFFERENCE)
 MASKS = (
@@ -87,11 +90,18 @@ def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: end + 1])), end
 
 
+def _first_of_best(stretch: tuple[int, int, int, int, int]):
+    """The order of stretches of one document and item: most words matched, then the shorter item, then the first place."""
+    matched, n, word, item_word, length = stretch
+    return matched, -n, -word, -item_word, length
+
+
 def _hits(seeds: Seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows_out = []
             ids = batch.column(0).to_pylist()
+            keys_of_rows = batch.column(2).to_pylist()
             for words in word_runs(batch.column(1)):
                 hashes = words.hashes(lower=True)
                 diagonals = set()
@@ -115,12 +125,13 @@ def _hits(seeds: Seeds):
                     equal = hashes[a:b] == own[a - shift_ : b - shift_]
                     x, y = _best_stretch(equal)
                     matched = int(equal[x:y].sum())
-                    if matched >= min(LEAST, len(own)) and matched > best.get((r, item_id), (0,))[0]:
+                    if matched >= min(LEAST, len(own)):
                         word = a + x - int(words.first[r])
-                        best[r, item_id] = (matched, len(own), word, a + x - shift_, y - x)
-                rows_out += [(ids[words.row + r], item_id, *v) for (r, item_id), v in best.items()]
-            names = ["doc_id", "item_id", "n_matched", "n_item_words", "doc_word", "item_word", "length"]
-            kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 5
+                        stretch = (matched, len(own), word, a + x - shift_, y - x)
+                        best[r, item_id] = max(stretch, best.get((r, item_id), stretch), key=_first_of_best)
+                rows_out += [(ids[words.row + r], item_id, *v, keys_of_rows[words.row + r]) for (r, item_id), v in best.items()]
+            names = ["doc_id", "item_id", "n_matched", "n_item_words", "doc_word", "item_word", "length", "text_key"]
+            kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 5 + [pa.int64()]
             columns = zip(*rows_out, strict=True) if rows_out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -130,24 +141,34 @@ def _hits(seeds: Seeds):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text) x benchmark(item_id, text): one row per document and item that it holds (see SCHEMA)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter("text is not null")
     seeds = F.size(F.split("text", "[\\x20\\x09-\\x0D]+")) * len(MASKS)
     total = items.agg(F.sum(seeds)).first()[0] or 0
     blocks = -(-total // BLOCK_SEEDS)
-    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    shape = f"{SCHEMA}, text_key long"
+    rounds = Rounds(docs.sparkSession, "leaks")
+    found = docs.sparkSession.createDataFrame([], shape)
     for block in range(blocks):
         # the text is part of the deal, so that one id with many texts is spread as well
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted(((r[0], r[1]) for r in some.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        found = found.unionByName(texts.mapInArrow(_hits(Seeds(rows)), SCHEMA))
+        hits = texts.mapInArrow(_hits(Seeds(rows)), shape)
+        # a pass is written before the next block's seeds are built
+        found = found.unionByName(rounds.save(hits, "hits") if blocks > 1 else hits)
     if blocks > 1:
-        best = F.max(F.struct("n_matched", "n_item_words", "doc_word", "item_word", "length")).alias("_b")
-        found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "_b.*")
-    return found
+        stretch = [f.split()[0] for f in SCHEMA.split(", ")[2:]]
+        row = ["doc_id", "text_key", "item_id"]
+        # texts of one item may lie in several blocks; equal documents give as many rows as they are
+        copies = found.groupBy(*row, *stretch).agg(F.count(F.lit(1)).alias("copies"))
+        order = F.struct("n_matched", -F.col("n_item_words"), -F.col("doc_word"), -F.col("item_word"), "length")
+        best = copies.groupBy(*row).agg(F.max_by(F.struct("copies", *stretch), order).alias("b")).select(*row, "b.*")
+        found = best.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return found.select(*[f.split()[0] for f in SCHEMA.split(", ")])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a passage of the benchmark; rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_leak"), "left_anti")
+    """docs without those that hold a passage of LEAST words or more of the benchmark; rows with a null doc_id stay."""
+    bad = leaks(docs, benchmark).filter(F.col("n_matched") >= LEAST).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti")

@@ -132,12 +132,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     # equal rows share one shard and may be taken unequally: number them on both sides
     nth = W.partitionBy("_id", "_source").orderBy("_size")
-    left = docs.withColumns(
-        {"_id": F.col("doc_id"), "_source": F.col("source").cast("string"), "_size": word_count(F.col("text").cast("string"))}
+    # the input's columns travel as one, so that no name of theirs meets those of the plan
+    left = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col("doc_id").alias("_id"),
+        F.col("source").cast("string").alias("_source"),
+        word_count(F.col("text").cast("string")).alias("_size"),
     ).withColumn("_nth", F.row_number().over(nth))
     right = mix.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies"))
     right = right.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_source").orderBy("_size", "_copies")))
     right = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns])
     same = F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_nth") == F.col("_nth2"))
     repeated = left.join(right.filter("_copies2 > 0"), same)
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies2"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies2"))).select("_row.*")

@@ -167,7 +167,7 @@ def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     the estimate and the verdicts both need them.
     """
     name = "quality"
-    while name in docs.columns:
+    while name in docs.columns or f"{name}_votes" in docs.columns:
         name = f"_{name}"
     votes = f"{name}_votes"
     columns = docs.columns if columns is None else columns
