@@ -2,7 +2,9 @@ import datetime as dt
 import random
 from difflib import SequenceMatcher
 
-from helpers import CATALOG, article, frame, random_titles
+import numpy as np
+import pytest
+from helpers import CATALOG, DAY, article, frame, random_titles
 
 from tidewire.functions import text as X
 from tidewire.functions import tokens as K
@@ -54,6 +56,42 @@ def greedy(rows):
     return {(r["edition"], r["pos"]) for r in kept}
 
 
+def test_common_subsequences_of_blocks():
+    rng = random.Random(1)
+    for length in (5, 63, 64, 65, 130, 200):
+        titles = ["".join(rng.choice("abcdé 字") for _ in range(rng.randrange(1, length + 1))) for _ in range(60)]
+        titles.sort(key=len)
+        block = S.TitleBlock(titles)
+        for t in [*titles[::7], "zz" + titles[5], "a" * length]:
+            assert block.common(t, np.arange(60)).tolist() == [S._common_subsequence(t, x) for x in titles]
+
+
+@pytest.mark.parametrize("hot,block", [(3, 4), (12, 1000), (40, 7)])
+def test_hot_grams_lose_no_pair(spark, monkeypatch, hot, block):
+    """Boilerplate over half of each title; every pair against the ratio itself."""
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(hot)
+    titles = set(random_titles(hot, 30))
+    for _ in range(70):
+        own = "".join(rng.choice("abcdefg ") for _ in range(rng.randrange(3, 22))).strip()
+        title = f"live markets update: {own} as traders wait"
+        titles |= {title, title.replace("a", "", 1), title[3:]}
+    titles = sorted(t for t in titles if len(t) >= 18)
+    rows = [(DAY, t) for t in titles] + [(dt.date(2026, 7, 1), t) for t in titles[::3]]
+    for threshold, q in ((0.9, 3), (0.82, 2)):
+        found = S.similar_pairs(spark.createDataFrame(rows, "edition date, norm string"), threshold, 4, q).collect()
+        got = {(r.edition, frozenset((r.left, r.right))) for r in found}
+        assert len(found) == len(got)
+        want = set()
+        for day, pool in ((DAY, titles), (dt.date(2026, 7, 1), titles[::3])):
+            for i, a in enumerate(pool):
+                for b in pool[:i]:
+                    if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= threshold:
+                        want.add((day, frozenset((a, b))))
+        assert got == want and len(want) > 40
+
+
 def test_dedupe_stories_equals_greedy(spark):
     rows = editions(1, 6, 40)
     marked = Dd.mark_story_duplicates(frame(spark, rows)).select("edition", "pos", "kept", "matched_pos").collect()
