@@ -66,8 +66,8 @@ def test_common_subsequences_of_blocks():
             assert block.common(t, np.arange(60)).tolist() == [S._common_subsequence(t, x) for x in titles]
 
 
-@pytest.mark.parametrize("hot,block", [(3, 4), (12, 1000), (40, 7)])
-def test_hot_grams_lose_no_pair(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize("hot,block,threshold,q", [(3, 4, 0.9, 3), (12, 1000, 0.82, 2)])
+def test_hot_grams_lose_no_pair(spark, monkeypatch, hot, block, threshold, q):
     """Boilerplate over half of each title; every pair against the ratio itself."""
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "BLOCK", block)
@@ -79,17 +79,16 @@ def test_hot_grams_lose_no_pair(spark, monkeypatch, hot, block):
         titles |= {title, title.replace("a", "", 1), title[3:]}
     titles = sorted(t for t in titles if len(t) >= 18)
     rows = [(DAY, t) for t in titles] + [(dt.date(2026, 7, 1), t) for t in titles[::3]]
-    for threshold, q in ((0.9, 3), (0.82, 2)):
-        found = S.similar_pairs(spark.createDataFrame(rows, "edition date, norm string"), threshold, 4, q).collect()
-        got = {(r.edition, frozenset((r.left, r.right))) for r in found}
-        assert len(found) == len(got)
-        want = set()
-        for day, pool in ((DAY, titles), (dt.date(2026, 7, 1), titles[::3])):
-            for i, a in enumerate(pool):
-                for b in pool[:i]:
-                    if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= threshold:
-                        want.add((day, frozenset((a, b))))
-        assert got == want and len(want) > 40
+    found = S.similar_pairs(spark.createDataFrame(rows, "edition date, norm string"), threshold, 4, q).collect()
+    got = {(r.edition, frozenset((r.left, r.right))) for r in found}
+    assert len(found) == len(got)
+    want = set()
+    for day, pool in ((DAY, titles), (dt.date(2026, 7, 1), titles[::3])):
+        for i, a in enumerate(pool):
+            for b in pool[:i]:
+                if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= threshold:
+                    want.add((day, frozenset((a, b))))
+    assert got == want and len(want) > 40
 
 
 def test_dedupe_stories_equals_greedy(spark):
