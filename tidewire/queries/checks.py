@@ -257,7 +257,15 @@ def check_summary(spark, sf):
     return Vd.check_summary(its, arts, selected, summaries).select("edition", "subject_id", "rule")
 
 
-@query("fingerprint_input")
+@query(
+    "fingerprint_input",
+    f"""WITH {V.DOC}, h AS (SELECT edition, row_number() OVER (PARTITION BY edition ORDER BY priority DESC, pos) - 1 AS a,
+  sha256(length(content) || ':' || content || '|' || length(link) || ':' || link || '|' || length(title) || ':' || title) AS h FROM doc),
+ t AS (SELECT edition, a // 1000 AS a, sha256(string_agg(h, ',' ORDER BY a)) AS h FROM h GROUP BY edition, a // 1000),
+ u AS (SELECT edition, a // 1000 AS a, sha256(string_agg(h, ',' ORDER BY a)) AS h FROM t GROUP BY edition, a // 1000),
+ v AS (SELECT edition, a // 1000 AS a, sha256(string_agg(h, ',' ORDER BY a)) AS h FROM u GROUP BY edition, a // 1000)
+ SELECT edition, sha256(string_agg(h, ',' ORDER BY a)) AS input_fingerprint, sha256('offline') AS prompt_fingerprint FROM v GROUP BY edition""",
+)
 def fingerprint(spark, sf):
     rows = Rk.global_rank(V.doc_articles(spark, sf), ["edition"], Rk.priority_order(), "selected_rank")
     return fingerprint_input(rows, ["title", "link", "content"], "offline")

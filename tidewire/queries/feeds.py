@@ -338,32 +338,44 @@ def write_and_read_edition(spark, sf):
     return back.groupBy(F.to_date("edition").alias("edition")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("title")).alias("chars"))
 
 
-@query("markdown_edition")
+@query(
+    "markdown_edition",
+    f"WITH {V.DOC} SELECT CAST(edition AS VARCHAR) AS date, count(*) + 7 AS lines, CAST(min(pos) AS BIGINT) AS least FROM doc GROUP BY edition",
+)
 def markdown_edition(spark, sf):
-    """Markdown files written per edition and read back."""
+    """Markdown pages written per edition as lines and read back."""
     path = _scratch(spark, "markdown")
-    items = Rk.global_rank(V.doc_articles(spark, sf), ["edition"], Rk.priority_order(), "item_no").select(
-        "edition", "item_no", F.col("title").alias("summary"), F.lit("").alias("why_it_matters")
+    items = Rk.global_rank(V.doc_articles(spark, sf), ["edition"], [F.col("pos")], "item_no").select(
+        "edition", "item_no", F.col("title").alias("summary"), F.col("pos").cast("string").alias("why_it_matters")
     )
     topics = items.select("edition").distinct().withColumn("discussion_topic", F.lit("topic"))
-    Sk.write_markdown_edition(Sk.render_markdown(items, topics), path)
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(F.regexp_extract("value", r"date: (\S+)", 1).alias("date"), F.size(F.split("value", "\n")).alias("lines"))
+    Sk.write_markdown_lines(Sk.markdown_lines(items, topics), path)
+    back = spark.read.option("lineSep", "\n").text(path)
+    number = F.regexp_extract("value", r"^(\d+)\. ", 1)
+    return back.groupBy(F.col("edition").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("lines"), F.min(F.when(number != "", number.cast("long"))).alias("least")
+    )
 
 
-@query("read_editions")
+@query(
+    "read_editions",
+    f"""WITH {V.DOC}, r AS (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY priority DESC, pos) AS place FROM doc)
+ SELECT edition, count(*) AS n, CAST(sum(length(title)) AS BIGINT) AS title_chars, CAST(sum(length(content)) AS BIGINT) AS content_chars,
+  CAST(max(place) AS BIGINT) AS last, CAST(sum(place * (length(title) + 7 * priority)) AS BIGINT) AS order_sum FROM r GROUP BY edition""",
+)
 def read_editions(spark, sf):
-    """JSON edition files written per date and read back with the date from the file name."""
+    """JSON editions written as bounded records and read back in order."""
     path = _scratch(spark, "json")
-    docs = V.doc_articles(spark, sf)
-    rows = Rk.global_rank(docs, ["edition"], Rk.priority_order(), "_r")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("_r", "title", "link", "content", "source", "priority"))), lambda x: x.dropFields("_r"))
-    one = rows.groupBy("edition").agg(F.to_json(F.struct(items.alias("articles"))).alias("value"))
-    one.repartition("edition").write.partitionBy("edition").text(path)
-    back = spark.read.option("recursiveFileLookup", False).text(path)
-    shape = Se.edition_schema()
-    parsed = back.select(F.to_date("edition").alias("edition"), F.from_json("value", shape).alias("d")).select("edition", "d.*")
-    return Se.edition_articles(parsed).groupBy("edition").agg(F.count(F.lit(1)).alias("n"))
+    rows = Rk.global_rank(V.doc_articles(spark, sf), ["edition"], Rk.priority_order(), "place")
+    Sk.write_edition_json(rows.select("edition", "place", "title", "link", "content", "source", "priority"), path, "place")
+    found = Se.edition_articles(Se.read_editions(spark, path, lines=True))
+    return found.groupBy("edition").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.length("title")).alias("title_chars"),
+        F.sum(F.length("content")).alias("content_chars"),
+        F.max("pos").alias("last"),
+        F.sum(F.col("pos") * (F.length("title") + 7 * F.col("priority"))).alias("order_sum"),
+    )
 
 
 @query(

@@ -26,6 +26,7 @@ def edition_schema() -> T.StructType:
     return (
         T.StructType()
         .add("date", "string")
+        .add("first", "long")
         .add("articles", T.ArrayType(articles))
         .add("summary", summary)
         .add("_corrupt_record", "string")
@@ -34,14 +35,20 @@ def edition_schema() -> T.StructType:
 
 def _edition_column():
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})\.[a-z]+$", 1)
-    return F.when(stem != "", stem.try_cast("date"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/edition=(\d{4}-\d{2}-\d{2})/[^/]*$", 1)
+    return F.when(stem != "", stem.try_cast("date")).when(folder != "", folder.try_cast("date"))
 
 
 def read_editions(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, skip_corrupt: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, skip_corrupt: bool = True, lines: bool = False
 ) -> DataFrame:
-    """One row per edition file whose stem is a date; corrupt files are skipped or kept with the raw text."""
-    reader = spark.read.schema(schema or edition_schema()).option("multiLine", True).option("mode", "PERMISSIVE")
+    """One row per edition file whose stem is a date; corrupt files are skipped or kept with the raw text.
+
+    With `lines`, files below folders edition=<date> with one record per line, each a bounded part of an edition, as
+    sinks.editions.write_edition_json writes them; a record's `first` counts the articles before it.
+    """
+    reader = spark.read.schema(schema or edition_schema()).option("multiLine", not lines).option("mode", "PERMISSIVE")
+    reader = reader.option("recursiveFileLookup", lines)
     rows = reader.json(path).withColumn("edition", _edition_column()).filter("edition is not null")
     if skip_corrupt and "_corrupt_record" in rows.columns:
         rows = rows.filter("_corrupt_record is null").drop("_corrupt_record")
@@ -49,8 +56,9 @@ def read_editions(
 
 
 def edition_articles(editions: DataFrame) -> DataFrame:
-    return editions.select("edition", F.posexplode("articles").alias("_i", "a")).select(
-        "edition", (F.col("_i") + 1).cast("long").alias("pos"), "a.*"
+    before = F.coalesce("first", F.lit(0)) if "first" in editions.columns else F.lit(0)
+    return editions.select("edition", before.alias("_before"), F.posexplode("articles").alias("_i", "a")).select(
+        "edition", (F.col("_before") + F.col("_i") + 1).cast("long").alias("pos"), "a.*"
     )
 
 
