@@ -1,7 +1,7 @@
 """Language identification by error-correcting output codes over byte n-grams.
 
-Every language has a codeword; one binary classifier per bit predicts that bit from hashed byte trigrams and whole
-words. The classifiers are naive Bayes: their weights are log ratios of feature counts, which one aggregation over all training
+Every language has a codeword; one binary classifier per bit predicts that bit from hashed byte trigrams. The
+classifiers are naive Bayes: their weights are log ratios of feature counts, which one aggregation over all training
 rows gives. Decoding takes the codeword of least loss exp(-margin) summed over the bits, each bit weighted by how well
 it separates the training counts; a small lead over the second codeword flags the prediction as ambiguous.
 
