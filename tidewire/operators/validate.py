@@ -292,26 +292,56 @@ def represented_links_check(captured: DataFrame, articles: DataFrame, signals: D
     return captured.join(known, ["edition", "link"], "left_anti")
 
 
+#: parts a head of links is spread over
+LEAK_SALTS = 16
+
+
+def _visible_links(public: DataFrame, links: DataFrame) -> DataFrame:
+    """(edition, page, url) of the links whose text stands in a body.
+
+    A link is its head, up to its last sign, and its tail of letters and digits. Heads are looked up at the places of a body
+    where a link can begin, tails only where the head is one of the edition's. No place yields more than the longest
+    link's signs and characters, however long the body's unbroken text is.
+    """
+    cut = links.select("edition", "url", F.regexp_extract("url", r"^(.*[^A-Za-z0-9])?([A-Za-z0-9]*)$", 1).alias("head"))
+    cut = cut.withColumn("tail", F.length("url") - F.length("head"))
+    signs = F.length(F.regexp_replace("url", "[A-Za-z0-9]", ""))
+    bounds = cut.groupBy("edition").agg(
+        F.max(F.length("url")).alias("longest"),
+        F.max(signs).alias("signs"),
+        F.min(signs).alias("fewest"),
+        F.max((~F.col("url").rlike("^[A-Za-z0-9]")).cast("int")).alias("leading"),
+    )
+    first = F.when(F.col("leading") == 1, r"\S").otherwise("[A-Za-z0-9]")
+    place = F.concat(F.lit(r"(?:(?<![A-Za-z0-9])|(?=https?://))(?=("), first, F.lit(r"\S{0,"), F.col("longest") - 1, F.lit("}))"))
+    runs = public.join(bounds, "edition").select(
+        "edition", "page", "signs", "fewest", F.explode(F.array_distinct(F.regexp_extract_all(text("body"), place, F.lit(1)))).alias("run")
+    )
+    pieces = F.slice(F.regexp_extract_all("run", F.lit("[A-Za-z0-9]*[^A-Za-z0-9]"), F.lit(0)), F.lit(1), F.col("signs"))
+    sizes = F.sequence(F.when(F.col("fewest") == 0, 0).otherwise(1), F.size("pieces"))
+    heads = F.transform(sizes, lambda n: F.array_join(F.slice("pieces", F.lit(1), n), ""))
+    salt = F.pmod(F.xxhash64("page", "run"), F.lit(LEAK_SALTS)).cast("int").alias("salt")
+    starts = runs.withColumn("pieces", pieces).filter("size(pieces) > 0 or fewest = 0")
+    starts = starts.select("edition", "page", "run", salt, F.explode(heads).alias("head"))
+    # one row a head; a head that very many places share, such as a host's, is spread over the salts
+    known = cut.groupBy("edition", "head").agg(F.min("tail").alias("least"), F.max("tail").alias("most"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LEAK_SALTS - 1))))
+    reach = F.least("most", F.length(F.regexp_extract(F.expr("substr(run, length(head) + 1)"), "^[A-Za-z0-9]*", 0)))
+    found = starts.join(known, ["edition", "head", "salt"]).withColumn("reach", reach).filter("reach >= least")
+    urls = found.select("edition", "page", F.explode(F.expr("transform(sequence(least, reach), k -> substr(run, 1, length(head) + k))")).alias("url"))
+    return urls.distinct().join(links, ["edition", "url"], "left_semi")
+
+
 def leak_check(public: DataFrame, articles: DataFrame) -> DataFrame:
-    """Source URLs or article ids that are visible in public text.
+    """Source URLs or article ids that are visible in public text, each once a page.
 
-    public: (edition, page, body). URLs are cut out of the text and joined; a link at the start of a
-    longer URL is found through the prefixes of that URL that end where a link can end.
+    public: (edition, page, body). A link, with a scheme or without, counts where a body holds its text from a place that no
+    ASCII letter or digit precedes (http and https links: from any place); more text may follow. Links with
+    whitespace inside are no URLs and are not looked for. Null and empty bodies and links give no rows.
     """
-    links = articles.select("edition", strip("link").alias("url")).filter("url <> ''").distinct()
-    # the look-ahead also finds a URL that starts inside another one
-    runs = F.regexp_extract_all(text("body"), F.lit(r"(?=(https?://[^\s]+))"), F.lit(1))
-    seen = public.select("edition", "page", F.explode(F.array_distinct(runs)).alias("run"))
-    lengths = links.groupBy("edition").agg(F.collect_set(F.length("url")).alias("ls"))
-    # candidate prefixes only at lengths that occur among the links of the edition
-    parts = seen.join(lengths, "edition").select(
-        "edition",
-        "page",
-        F.explode(
-            F.transform(F.filter("ls", lambda n: n <= F.length("run")), lambda n: F.substring(F.col("run"), F.lit(1), n))
-        ).alias("url"),
-    ).distinct()
-    urls = parts.join(links, ["edition", "url"]).select("edition", F.col("page").alias("subject_id"), F.lit("source_url").alias("rule"), F.col("url").alias("detail"))
+    links = articles.select("edition", strip("link").alias("url")).filter(r"url <> '' and not url rlike '\\s'").distinct()
+    urls = _visible_links(public, links)
+    urls = urls.select("edition", F.col("page").alias("subject_id"), F.lit("source_url").alias("rule"), F.col("url").alias("detail"))
     ids = public.select(
         "edition", F.col("page").alias("subject_id"), F.lit("article_id").alias("rule"),
         F.explode(F.array_distinct(F.regexp_extract_all(text("body"), F.lit(R.PUBLIC_ID), F.lit(0)))).alias("detail"),
