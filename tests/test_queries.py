@@ -13,7 +13,8 @@ SAMPLE = (
     "canonical_url parse_published story_tokens number_claims partition_for_publication prefilter_stats analyze_editorial "
     "match_catalog_aliases dedupe_exact shared_token_pairs story_relation_v2 recent_exact_antijoin homepage_links channel_items "
     "union_sources source_outcomes candidate_queue call_plan one_lead_per_entity match_evidence resolve_story enrich_story "
-    "scorecard benchmark_groups check_grounding leak_check publication_gate fingerprint_input read_editions markdown_edition"
+    "scorecard benchmark_groups check_grounding leak_check publication_gate fingerprint_input read_editions markdown_edition "
+    "stream_freshness_gate stream_recent_dedupe stream_daily_failures stream_edition_close"
 ).split()
 
 

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tidewire.queries import checks, evidence, feeds, metrics, scalars, selection, stories  # noqa: F401
+    from tidewire.queries import checks, evidence, feeds, metrics, scalars, selection, stories, streams  # noqa: F401

@@ -110,7 +110,7 @@ def stream_edition_close(
     store: str,
     ts: str = "published_at",
     grace_hours: int = 6,
-    name: str = "edition-close",
+    name: str | None = "edition-close",
     delivered: Callable[[int], bool] | None = None,
 ):
     """Run the batch job on all rows of a day once the day is closed, however many batches they came in.
@@ -181,10 +181,5 @@ def stream_edition_close(
             note(session, days, number, "intent")
             deliver(session, days, number)
 
-    return (
-        stream.writeStream.queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(close)
-        .start()
-    )
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(close)
+    return (writer.queryName(name) if name else writer).start()
