@@ -14,7 +14,7 @@ SAMPLE = (
     "match_catalog_aliases dedupe_exact shared_token_pairs story_relation_v2 recent_exact_antijoin homepage_links channel_items "
     "union_sources source_outcomes candidate_queue call_plan one_lead_per_entity match_evidence resolve_story enrich_story "
     "scorecard benchmark_groups check_grounding leak_check publication_gate fingerprint_input read_editions markdown_edition "
-    "stream_freshness_gate stream_recent_dedupe stream_daily_failures stream_edition_close"
+    "stream_freshness_gate stream_recent_dedupe stream_daily_failures stream_edition_close catalog_mentions"
 ).split()
 
 

@@ -167,6 +167,19 @@ def match_catalog_aliases(spark, sf):
     return out.select("doc_id", "entity_id", F.coalesce("family_id", F.lit("")).alias("family_id"), "alias", "is_model", F.col("position").cast("long").alias("position"))
 
 
+@query(
+    "catalog_mentions",
+    f"""WITH folded AS (SELECT doc_id, {S.fold('text')} AS t FROM documents), hit AS (SELECT DISTINCT doc_id, entity_id FROM ({_alias_union()}) WHERE position IS NOT NULL),
+ ent AS (SELECT * FROM (VALUES {', '.join(f"('{e.entity_id}', '{e.region}', '{e.tier}')" for e in V.CATALOG.entities)}) AS v(entity_id, region, tier))
+ SELECT entity_id, region, tier, count(doc_id) AS n_docs FROM ent LEFT JOIN hit USING (entity_id) GROUP BY ALL""",
+)
+def catalog_mentions(spark, sf):
+    dims = Cat.catalog_dims(spark, Cat.load_catalog(V.CATALOG_SPEC))
+    hits = Cat.match_catalog_aliases(V.table(spark, sf, "documents"), V.CATALOG, "text", ["doc_id"]).select("doc_id", "entity_id").distinct()
+    counts = hits.groupBy("entity_id").agg(F.count("doc_id").alias("n_docs"))
+    return dims["entities"].select("entity_id", "region", "tier").join(counts, "entity_id", "left").na.fill(0, ["n_docs"])
+
+
 @query(
     "dedupe_exact",
     f"""WITH {V.DOC}, k AS (SELECT edition, pos, priority, {S.article_key('title', 'link')} AS article_key FROM doc)
