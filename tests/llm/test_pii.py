@@ -63,3 +63,24 @@ def test_plan_has_no_python_and_empty_table(spark):
     assert out.collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_over_several_words_phones_and_long_addresses(spark):
+    texts = [
+        "Mr. John Smith met Mr Smith, Mr. Peter Smith and Mr. J. R. Smith.",
+        "Mrs Smith-Jones and Mr O'Brien saw Mr McDonald. Then Miss Anna-Lena de Vries left",
+        "call +44 20 7946 0958, 555-123-4567 or (555) 123-4567; at 12:34:56 on 2024-12-30, +1 of 2, 1-2-3",
+        "from 2001:db8::ff00:42:8329 and 2001:0DB8:0:0:0:ff00:42:8329 and fe80::1, not a::b or 2024:12:30",
+        "Sir John",
+    ]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.text for r in rewritten(docs.unionByName(docs), "k").collect()}
+    john, short, peter, initials = re.fullmatch(r"Mr\. (\S+ \S+) met Mr (\S+), Mr\. (\S+ \S+) and Mr\. (\S+ \S+)\.", got[0]).groups()
+    assert {x.split()[1] for x in (john, peter, initials)} == {short} and len({john, peter, initials}) == 3
+    for kept in ("Smith", "John", "Peter", "Jones", "Brien", "Mc", "Donald", "Anna", "Lena"):
+        assert kept not in got[0] + got[1] + got[4]
+    assert re.fullmatch(r"Mrs \w+a and Mr \w+n saw Mr \w+n\. Then Miss \w+a de Vries left", got[1])
+    mobile, plain, bracket = re.fullmatch(r"call (\+44 \d\d \d{4} \d{4}), (\d{3}-\d{3}-\d{4}) or (\(\d{3}\) \d{3}-\d{4}); at 12:34:56 on 2024-12-30, \+1 of 2, 1-2-3", got[2]).groups()
+    assert mobile != "+44 20 7946 0958" and plain != "555-123-4567" and re.sub(r"\D", "", plain) == re.sub(r"\D", "", bracket)
+    short, long, link = re.fullmatch(r"from (2001:\w{3}::\w{4}:\w\w:\w{4}) and (2001:\w{4}:\w:\w:\w:\w{4}:\w\w:\w{4}) and (fe80::\w), not a::b or 2024:12:30", got[3]).groups()
+    assert "8329" not in short + long and "db8" not in short + long.lower()

@@ -3,9 +3,11 @@
 Detected mentions (SHAPES) get a keyed, type-consistent replacement. A replacement depends on the key, the type and the mention's
 normal form alone, so every mention of one entity, in any document and spelling, gets the same one. It keeps the format: digits
 stay digits, letters stay letters of the same case, marks and the country code stay, an address stays an address; a name keeps
-its title and gets a name of the title's gender in the script of the original. Replacements are checked over all entities
+its title and gets a name of the title's gender in the script of the original. A name runs over up to two given names or
+initials, hyphens and apostrophes. Its surname and its given names are replaced apart, so a name with given names and one without
+agree in the surname, and two people of one surname differ; given names become one word. Replacements are checked over all entities
 of the tables: no two entities share one and none equals an original; whoever loses a tie draws again with the next
-attempt, in rounds until no clash is left, and from EXTEND attempts on the replacement grows by letters or digits, so the space never runs out.
+attempt, in rounds until no clash is left, and from EXTEND attempts on replacements of mail addresses and names grow by letters.
 
 Nulls: a null text stays null and has no entities. Repeated rows, equal and null ids are rewritten alike. Empty tables give no rows. `rewritten` keeps
 all further columns whatever they are called. Texts are used whole.
@@ -28,16 +30,25 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("n", "na"), "cyrillic": ("н", "на"), "greek": ("ς", "να")}
 
+#: a capitalised word of a name, and a name: up to two given names or initials and a surname
+WORD = r"\p{Lu}(?:\p{Ll}+|(?=['’]))(?:['’\-]?\p{Lu}\p{Ll}+)*"
+NAME = rf"(?:(?:\p{{Lu}}\.|{WORD}) ){{0,2}}{WORD}"
+HEX = "[0-9A-Fa-f]{1,4}"
+
 #: type -> pattern; the first that fits names a mention's type
 SHAPES = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "token": r"\b[0-9a-f]{40}\b",
-    "phone": r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ \-]?[0-9]{4}",
+    "phone": r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ \-]?[0-9]{4}"
+    r"|\+(?=(?:[ .\-]?[0-9]){9,15}(?![0-9]))[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
+    r"|(?:\b[0-9]{3}-|\([0-9]{3}\) ?)[0-9]{3}-[0-9]{4}\b",
     "card": r"\b[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "address": r"\b(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}\b",
-    "name": "(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}+",
+    # global, local and link addresses of version 6: eight groups, or fewer with a double colon
+    "address6": rf"\b(?:[23][0-9A-Fa-f]{{3}}|[fF][c-eC-E][0-9A-Fa-f]{{2}})(?=[0-9A-Fa-f:]*::|(?::{HEX}){{7}}\b)(?:::?{HEX}){{1,7}}\b",
+    "name": "(?:" + "|".join(MALE + FEMALE) + rf")\.? {NAME}",
 }
 ANY = "(" + "|".join(f"(?:{p})" for p in SHAPES.values()) + ")"
 ATTEMPTS, EXTEND = 64, 4
@@ -60,11 +71,22 @@ def normal_form(kind: Column, mention: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind.isin("phone", "card", "ssn"), digits)
-        .when(kind == "name", F.regexp_replace(mention, r"\. ", " "))
+        .when(kind == "name", F.concat_ws(" ", _title(mention), F.substring_index(mention, " ", -1)))
+        .when(kind == "address6", F.lower(mention))
         .otherwise(mention)
     )
 
 
+def _title(mention: Column) -> Column:
+    return F.regexp_replace(F.substring_index(mention, " ", 1), r"\.", "")
+
+
+def given_names(kind: Column, mention: Column) -> Column:
+    """Title and given names of a name, null for mentions without given names."""
+    given = F.regexp_extract(mention, r"^\S+ (.*) \S+$", 1)
+    return F.when((kind == "name") & (given != ""), F.concat_ws(" ", _title(mention), given))
+
+
 def _number(digest: Column, i: Column | int, below: int) -> Column:
     """The i-th number of a hex digest, below `below`."""
     at = (F.lit(i) if isinstance(i, int) else i) * 3 % 120 + 1
@@ -84,13 +106,13 @@ def surrogate_form(kind: Column, normal: Column, attempt: Column, key: str) -> C
     chars = F.split(normal, "")
     more = F.greatest(F.lit(0), attempt - EXTEND + 1)
     # letters of the last label of a mail domain stay, so do the country code of a phone and the key's prefix
-    fixed_to = F.when(kind == "key", 4).when((kind == "phone") & (F.length(normal) > 10), F.length(normal) - 10).otherwise(0)
+    fixed_to = F.when(kind.isin("key", "address6"), 4).when((kind == "phone") & (F.length(normal) > 10), F.length(normal) - 10).otherwise(0)
     fixed_from = F.when(kind == "email", F.length(normal) - F.length(F.substring_index(normal, ".", -1))).otherwise(F.length(normal))
-    hexed = kind == "token"
+    hexed = kind.isin("token", "address6")
 
     def drawn(c: Column, i: Column) -> Column:
         return (
-            F.when((i < fixed_to) | (i >= fixed_from), c)
+            F.when((i < fixed_to) | (i >= fixed_from) | (c == ":"), c)
             .when(hexed, _pick("0123456789abcdef", digest, i))
             .when(c.rlike("[0-9]"), _pick("0123456789", digest, i))
             .when(c.rlike("[a-z]"), _pick(LOWERCASE, digest, i))
@@ -114,15 +136,15 @@ def surrogate_form(kind: Column, normal: Column, attempt: Column, key: str) -> C
 
     names = F.when(given.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(given.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
     return (
-        F.when(kind == "name", names)
+        F.when(kind.isin("name", "given"), names)
         .when(kind == "address", address)
         .when(kind == "email", F.concat(letters, plain))
         .otherwise(plain)
     )
 
 
-def in_format(kind: Column, mention: Column, form: Column) -> Column:
-    """The replacement of a normal form written like this mention."""
+def in_format(kind: Column, mention: Column, form: Column, given: Column) -> Column:
+    """The replacement of a normal form, and of the given names if there are any, written like this mention."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
     # digits of the form take the places of the mention's digits
     spread = F.aggregate(
@@ -133,10 +155,10 @@ def in_format(kind: Column, mention: Column, form: Column) -> Column:
         ).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["k"].alias("k"))),
         lambda acc: acc["s"],
     )
-    dotted = F.when(mention.rlike(r"\. "), F.concat_ws(". ", F.substring_index(form, " ", 1), F.substring_index(form, " ", -1)))
+    name = F.concat_ws(" ", F.substring_index(mention, " ", 1), F.substring_index(given, " ", -1), F.substring_index(form, " ", -1))
     return (
         F.when(kind.isin("phone", "card", "ssn"), spread)
-        .when(kind == "name", F.coalesce(dotted, form))
+        .when(kind == "name", name)
         .when((kind == "email") & (mention == F.upper(mention)), F.upper(form))
         .otherwise(form)
     )
@@ -179,10 +201,12 @@ def rewritten(docs: DataFrame, key: str, out: str = "entities") -> DataFrame:
     lists = Rounds(spark, "mentions").save(lists)
     each = lists.select("k", F.posexplode("m").alias("i", "mention"))
     kinds = each.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
-    kinds = kinds.withColumn("normal", normal_form(F.col("kind"), F.col("mention")))
-    forms = surrogates(kinds.select("kind", "normal").distinct(), key)
-    written = kinds.join(forms, ["kind", "normal"]).select(
-        "mention", "kind", in_format(F.col("kind"), F.col("mention"), F.col("form")).alias("form")
+    kinds = kinds.withColumn("normal", normal_form(F.col("kind"), F.col("mention"))).withColumn("given", given_names(F.col("kind"), F.col("mention")))
+    entities = kinds.select("kind", "normal").unionByName(kinds.filter("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("normal")))
+    forms = surrogates(entities.distinct(), key)
+    firsts = forms.filter("kind = 'given'").select(F.col("normal").alias("given"), F.col("form").alias("first"))
+    written = kinds.join(forms, ["kind", "normal"]).join(firsts, "given", "left").select(
+        "mention", "kind", in_format(F.col("kind"), F.col("mention"), F.col("form"), F.col("first")).alias("form")
     )
     replaced = (
         each.join(written, "mention").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "kind", "form"))).alias("r"))
