@@ -10,7 +10,8 @@ from tidewire.functions.text import normalize_title_search, text
 from tidewire.operators.catalog import Catalog, title_model_aliases
 from tidewire.operators.greedy import components, first_fit
 from tidewire.operators.ranking import global_rank, top_k
-from tidewire.operators.similarity import near_duplicate_pairs, shared_token_pairs
+from tidewire.operators.similarity import near_duplicate_pairs
+from tidewire.operators.token_links import shared_token_links
 from tidewire.workspace import save_once
 
 
@@ -28,7 +29,7 @@ def story_edges(df: DataFrame) -> DataFrame:
     # even ids are titles, odd ids normal forms; both grow with the first position
     tid, nid = F.col("first") * 2, F.col("nfirst") * 2 + 1
     tie = titles.join(norms, ["edition", "norm"]).select("edition", tid.alias("a"), nid.alias("b"))
-    tokens = shared_token_pairs(titles)
+    tokens = shared_token_links(titles)
     ids = titles.select("edition", "title", tid.alias("id"))
     by_token = (
         tokens.join(ids.withColumnsRenamed({"title": "left", "id": "a"}), ["edition", "left"])
