@@ -35,6 +35,16 @@ def test_large_groups_are_split_over_blocks(spark, monkeypatch):
     assert 1 < len({c for _, _, c in got}) < 80
 
 
+def test_links_between_levels_of_a_wide_group(spark, monkeypatch):
+    """A chain of growing texts, a block a level: those linked to the first node are met by the apart ones above them."""
+    words = [f"w{i}" for i in range(130)]
+    texts = [" ".join(words[:k]) for k in range(40, 130, 3)]
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 1200)
+    got = rows(ngram_components(frame(spark, texts), 3, 90, 100))
+    assert got == jaccard_components(list(enumerate(texts)), 3, 90, 100)
+    assert {c for _, _, c in got} == {0}
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     base = " ".join(prose(random.Random(5), 50))
     df = frame(spark, [base, base, base, base, "other text here now"], [7, 7, 3, None, 9])

@@ -11,8 +11,9 @@ Steps
 3. Nodes that share keys form candidate groups. A group's n-gram sets are searched in blocks of bounded size by DivideSkip:
    the shortest inverted lists are merged, the long ones probed by binary search for the merged candidates only, and sets
    that reach the required overlap T are linked. Nodes that are linked already are not compared again.
-4. Large groups are dealt by size, as a set can be linked with its own and the next level only, then by hash into blocks. Every block also holds the
-   group's first node; only nodes that their block does not link to it are carried to the other blocks of the two levels.
+4. Large groups are dealt by size, as a set can be linked with its own and neighbouring levels only, then by hash into blocks. Every block also holds the
+   group's first node; only nodes that their block does not link to it are carried to the other blocks of their own level and of
+   those below and above that linked sets can be in.
 
 Nulls: a null, empty or blank text has no n-grams and is linked with nothing. Rows with a null doc_id are returned with a
 null component. Repeated rows are returned as often as they come. Ties do not exist: links are symmetric and a component
@@ -436,14 +437,18 @@ def _in_all_pieces(df: DataFrame) -> DataFrame:
     return each.withColumn("chunk", _chunk_of_level(F.col("level"), F.col("piece"))).drop("piece", "pieces")
 
 
+def _level(size, num: int, den: int):
+    uppers = F.array(*[F.lit(u).cast("long") for u, _, _ in _levels(num, den)])
+    return F.size(F.filter(uppers, lambda u: u < size)).cast("long")
+
+
 def _placed(nodes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(nodes with level and chunk, pieces by root and level).
 
     A group of at most a block is one chunk, level -1. A wider one is dealt by size first, so that a set meets those of its own
-    and the next level only, then by hash into pieces of a block; its first node is in every chunk.
+    and the neighbouring levels only, then by hash into pieces of a block; its first node is in every chunk.
     """
-    uppers = F.array(*[F.lit(u).cast("long") for u, _, _ in _levels(num, den)])
-    level = F.size(F.filter(uppers, lambda u: u < F.col("n_shingles"))).cast("long")
+    level = _level(F.col("n_shingles"), num, den)
     wide = nodes.groupBy("root").agg((F.sum("n_shingles") > BLOCK_NGRAMS).alias("wide"))
     leveled = nodes.join(wide, "root").withColumn("level", F.when(F.col("wide"), level).otherwise(-1)).drop("wide")
     pieces = leveled.groupBy("root", "level").agg(F.ceil(F.sum("n_shingles") / BLOCK_NGRAMS).alias("pieces"))
@@ -486,11 +491,11 @@ def linked_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, lowe
     if not wide.isEmpty():
         apart = inside.filter("apart").select("node").distinct()
         left = placed.filter("level >= 0 and node <> root").join(apart, "node", "left_semi").withColumnRenamed("chunk", "own")
-        own = left.join(wide, ["root", "level"])
-        # a linked set of the next level is larger than this level's bound
-        bound = F.element_at(F.array(*[F.lit(u).cast("long") for u, _, _ in _levels(num, den)]), (F.col("level") + 1).cast("int"))
-        above = left.filter(F.col("n_shingles") * den > bound * num).withColumn("level", F.col("level") + 1).join(wide, ["root", "level"])
-        carried = _in_all_pieces(own.unionByName(above)).filter("chunk <> own")
+        # a linked set lies in a level between the bounds that the threshold sets to its size, below this one or above
+        least, most = F.ceil(F.col("n_shingles") * num / den), F.floor(F.col("n_shingles") * den / num)
+        levels = F.sequence(_level(least, num, den), _level(most, num, den))
+        met = left.withColumn("level", F.explode(levels)).join(wide, ["root", "level"])
+        carried = _in_all_pieces(met).filter("chunk <> own")
         sizes = carried.groupBy("root", "chunk").agg(F.ceil(F.sum("n_shingles") / BLOCK_NGRAMS).alias("parts"))
         carried = carried.join(sizes, ["root", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
         base = placed.join(sizes, ["root", "chunk"]).withColumn(
