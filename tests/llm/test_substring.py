@@ -59,6 +59,23 @@ def test_equals_brute_force(spark, monkeypatch):
     assert rows(without_repeats(df, verify=True)) == want
 
 
+def test_a_task_matches_a_bounded_number_of_edges(spark, monkeypatch):
+    """A partition's stretches come in lots of whole anchors; an anchor wider than a lot stays whole."""
+    rng = random.Random(7)
+    anchors = sorted(rng.choice([-5, 0, 1, 3, *range(10, 200)]) for _ in range(900)) + [500] * 80 + [501]
+    prints = pa.array([bytes(8 * rng.randrange(1, 8)) for _ in anchors], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), prints], ["anchor", "prints"])
+    lots = list(substring._lots((batch.slice(i, 20) for i in range(0, len(anchors), 20)), 100))
+    assert [a for lot in lots for a in lot.column("anchor").to_pylist()] == anchors
+    kinds = [set(lot.column("anchor").to_pylist()) for lot in lots]
+    assert all(not x & y for x, y in zip(kinds, kinds[1:]))
+    assert max(sum(len(p) // 8 for p in lot.column("prints").to_pylist()) for lot, k in zip(lots, kinds) if 500 not in k) < 500
+    texts = passages(3)
+    monkeypatch.setattr(substring, "MATCH_EDGES", 50)
+    monkeypatch.setattr(substring, "RUN_BYTES", 1)
+    assert rows(without_repeats(frame(spark, texts).repartition(3))) == brute(list(enumerate(texts)))
+
+
 def test_spans_compact_and_edge_cases(spark):
     text = " ".join(prose(random.Random(4), 200))
     df = frame(spark, [text, text, text, None, text], [1, 5, 5, 6, None]).withColumns({"anchor": F.lit(1), "_spans": F.lit("x")})

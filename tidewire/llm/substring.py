@@ -5,8 +5,8 @@ an unbranched stretch with that m-mer as its anchor; equal windows always have e
 one 64-bit print per edge) are dealt by anchor instead of single edges, which makes about an eighth of the rows.
 
 1. In a task: equal edges of a run of documents keep their smallest doc_id only; all others are known to be repeats.
-2. By anchor: equal edges (anchor, print) of different documents; those beyond the smallest doc_id are
-   repeats of it. A hot passage arrives once per run of documents, not once per document.
+2. By anchor, sorted, so that a task holds a lot of MATCH_EDGES edges at a time: equal edges (anchor, print) of different documents; those
+   beyond the smallest doc_id are repeats of it. A hot passage arrives once per run of documents, not once per document.
 3. Neighbouring repeated edges of one document with the same owner on the same diagonal compact into one span, and
    the spans are joined to their document by coordinates. The words at the owner's coordinates are fetched for the spans
    found, and only windows whose 13 words are the same there are removed (verify=False skips that).
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from tidewire.workspace import Rounds
 ANCHOR = 6
 #: bytes of text whose edges a task compares among themselves
 RUN_BYTES = 8 << 20
+#: edges that are matched at a time, beyond which the next anchor begins a new lot
+MATCH_EDGES = 1_000_000
 #: parts in which a passage is handed to the documents that repeat it
 PASSAGE_PARTS = 64
 
@@ -154,12 +157,34 @@ def _stretches(k: int):
     return run
 
 
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among the stretches of a partition's anchors."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
+def _lots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Stretches in ascending order of anchor, cut between anchors into tables of about `most` edges."""
+    held, edges, limit = [], 0, most
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        edges += (pc.sum(pc.binary_length(batch.column("prints"))).as_py() or 0) // 8
+        if edges < limit:
+            continue
+        last = batch.column("anchor")[batch.num_rows - 1].as_py()
+        whole = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(np.asarray(whole.column("anchor")), last))
+        if not cut:
+            # one anchor so far: it is looked for again after as many edges more
+            limit = edges + most
+            continue
+        yield whole.slice(0, cut)
+        held = whole.slice(cut).to_batches()
+        edges = sum((pc.sum(pc.binary_length(b.column("prints"))).as_py() or 0) // 8 for b in held)
+        limit = max(most, edges + most // 2)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matched(table: pa.Table) -> pa.RecordBatch:
+    """Repeats among the stretches of some anchors."""
+    table = table.combine_chunks()
     packed = table.column("prints").chunk(0)
     bounds = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
     raw = np.frombuffer(packed.buffers()[2], np.uint8)
@@ -170,11 +195,11 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchor = np.asarray(table.column("anchor")).view(np.uint64)[rows]
     doc = np.asarray(table.column("doc_id"))[rows]
     word = np.asarray(table.column("word")).astype(np.int64)[rows] + inner
-    del table, packed, raw, held
+    del table, packed, raw
     owner, _ = _owners(anchor, prints, doc, word)
     repeat = np.flatnonzero(doc[owner] != doc)
     repeat = repeat[np.lexsort((word[repeat], doc[repeat]))]
-    yield _spans(doc[repeat], word[repeat], doc[owner[repeat]], word[owner[repeat]])
+    return _spans(doc[repeat], word[repeat], doc[owner[repeat]], word[owner[repeat]])
 
 
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -190,20 +215,31 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     dealt = found.withColumn("_deal", F.coalesce("anchor", F.xxhash64("doc_id", "word")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    most = MATCH_EDGES
+
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = []
-        for batch in batches:
-            known = np.asarray(batch.column(0).is_null())
-            if known.any():
-                local = batch.filter(pa.array(known))
-                yield pa.RecordBatch.from_arrays(
-                    [local.column(i) for i in (1, 2, 4, 5, 6)], ["doc_id", "word", "length", "owner", "owner_word"]
-                )
-            open_.append(batch.filter(pa.array(~known)).select(["anchor", "doc_id", "word", "prints"]))
-        yield from _matched(iter(open_))
+        ready = []
+
+        def open_() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = np.asarray(batch.column(0).is_null())
+                if known.any():
+                    local = batch.filter(pa.array(known))
+                    ready.append(
+                        pa.RecordBatch.from_arrays(
+                            [local.column(i) for i in (1, 2, 4, 5, 6)], ["doc_id", "word", "length", "owner", "owner_word"]
+                        )
+                    )
+                yield batch.filter(pa.array(~known)).select(["anchor", "doc_id", "word", "prints"])
+
+        for lot in _lots(open_(), most):
+            yield from ready
+            ready.clear()
+            yield _matched(lot)
+        yield from ready
 
     columns = ["anchor", "doc_id", "word", "prints", "span", "owner", "owner_word"]
-    spans = dealt.repartition(parts, "_deal").select(*columns).mapInArrow(both, _SPAN)
+    spans = dealt.repartition(parts, "_deal").sortWithinPartitions("_deal").select(*columns).mapInArrow(both, _SPAN)
     return rounds.save(_compacted(spans), "spans")
 
 
