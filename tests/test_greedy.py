@@ -178,3 +178,35 @@ def test_clusters_equal_union_find(spark):
                 role = "representative" if p == root else "alternate"
                 assert got[(day, p)] == (f"cluster-{no:02d}", role, len(members))
     assert clusters.agg(F.sum("saved_calls")).first()[0] == sum(1 for v in got.values() if v[1] == "alternate")
+
+
+def _long_titles(seed, n):
+    """Titles around and beyond the length at which the matcher leaves out popular characters, in two alphabets."""
+    rng = random.Random(seed)
+    out = set()
+    for i in range(n):
+        letters = "etaoin shrdlu" if i % 3 else "etaoin shrdluwfgypbvkxjqz"
+        base = "".join(rng.choice(letters) for _ in range(rng.choice([150, 195, 205, 260, 420, 700])))
+        for _ in range(5):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 3, 10, 25])):
+                t[rng.randrange(len(t))] = rng.choice([*letters, "", "zq", "é"])
+            out.add("".join(t)[rng.choice([0, 0, 9]) :])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.82])
+def test_blocks_of_long_titles_lose_no_pair(threshold):
+    titles = sorted(_long_titles(3, 40), key=len)
+    block = S.TitleBlock(titles)
+    found = {(i, j) for i, t in enumerate(titles) for j in block.similar(t, threshold).tolist()}
+    want = 0
+    for i, a in enumerate(titles):
+        for j in range(i):
+            ratios = [SequenceMatcher(None, *p).ratio() for p in ((a, titles[j]), (titles[j], a))]
+            if max(ratios) >= threshold:
+                want += 1
+                assert (i, j) in found
+    assert want > 40
+    # unrelated titles of one alphabet do not pass for candidates
+    assert len(found) < 5 * len(titles)
