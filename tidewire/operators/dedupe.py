@@ -10,6 +10,7 @@ from tidewire.functions.text import compact_text, normalize_title_identity, norm
 from tidewire.functions.urls import article_key, canonical_story_url, canonical_url_search
 from tidewire.operators.greedy import first_fit
 from tidewire.operators.similarity import title_similarity_join
+from tidewire.workspace import save_once
 
 
 def dedupe_exact(df: DataFrame) -> DataFrame:
@@ -29,6 +30,8 @@ def mark_story_duplicates(df: DataFrame) -> DataFrame:
     rows = df.withColumn("_key", article_key(F.col("title"), F.col("link"))).withColumn(
         "_norm", normalize_title_identity("title")
     )
+    # keys and normal forms are dear and read for the titles, the nodes, the rounds and the result
+    rows = save_once(rows, "stories")
     nodes = rows.groupBy("edition", "_key", "_norm").agg(F.min(order).alias("ord"))
     hubs = F.array_compact(
         F.array(
