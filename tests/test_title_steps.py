@@ -5,7 +5,9 @@ from difflib import SequenceMatcher
 from helpers import DAY, article, frame
 from pyspark.sql import functions as F
 
+from tidewire.operators.clusters import annotate_story_clusters
 from tidewire.operators.dedupe import mark_story_duplicates
+from tidewire.operators.greedy import components
 from tidewire.operators.similarity import TitleBlock
 
 
@@ -36,3 +38,6 @@ def test_a_title_does_not_meet_itself():
 def test_dear_columns_are_written_once(spark):
     rows = once(frame(spark, [article(i, f"Acme opens plant {i} in Ohio this week", f"https://x.com/{i}") for i in range(1, 5)]))
     assert not done_again(mark_story_duplicates(rows))
+    assert not done_again(annotate_story_clusters(rows)[0])
+    edges = rows.select("edition", F.length("title").alias("a"), F.col("pos").alias("b"))
+    assert not done_again(components(edges))

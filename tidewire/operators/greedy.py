@@ -89,8 +89,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     spark = edges.sparkSession
     rounds = Rounds(spark, name)
-    both = edges.select("edition", F.col("a").alias("u"), F.col("b").alias("v"))
-    state = rounds.save(both.filter("u <> v").distinct())
+    # read for the first round and for the vertices
+    both = rounds.save(edges.select("edition", F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+    state = both.filter("u <> v")
 
     def signature(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("edition", "u", "v").cast("decimal(38,0)"))).first()
