@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.operators.clusters import annotate_story_clusters
 from tidewire.operators.dedupe import mark_story_duplicates
 from tidewire.operators.greedy import components
-from tidewire.operators.similarity import TitleBlock
+from tidewire.operators.similarity import TitleBlock, related_titles
 
 
 def done_again(df):
@@ -41,3 +41,11 @@ def test_dear_columns_are_written_once(spark):
     assert not done_again(annotate_story_clusters(rows)[0])
     edges = rows.select("edition", F.length("title").alias("a"), F.col("pos").alias("b"))
     assert not done_again(components(edges))
+
+
+def test_relations_are_matched_once(spark):
+    names = ["Acme opens battery factory in Ohio", "Acme opens battery factory in Iowa", "Unrelated words of another day"]
+    titles = spark.createDataFrame([(DAY, t) for t in names], "edition date, title string")
+    found = related_titles(titles, titles, ascending=True)
+    assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.left_title, r.right_title, r.relation_type) for r in found.collect()] == [(names[1], names[0], "near_duplicate")]
