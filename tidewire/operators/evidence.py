@@ -15,11 +15,14 @@ from tidewire.operators.catalog import Catalog, analyze, analyze_articles
 from tidewire.operators.dedupe import flag_existing
 from tidewire.operators.gates import gate_evidence, observation_signals
 from tidewire.operators.greedy import first_fit
-from tidewire.operators.ranking import candidate_queue, lead_order, top_k, within_result_duplicates
-from tidewire.operators.similarity import related_titles, title_similarity
+from tidewire.operators.ranking import candidate_queue, global_rank, lead_order, top_k, within_result_duplicates
+from tidewire.operators.similarity import facing_relations, facing_titles, related_titles, title_similarity
 from tidewire.settings import EnrichSettings
 from tidewire.workspace import Rounds, save_once
 
+#: ranks of an edition that a refill round looks at first
+LOT = 128
+
 
 def flag_relevant(candidates: DataFrame, results: DataFrame, catalog: Catalog) -> DataFrame:
     """Results joined to their candidate, with `relevant`: does the result keep its identity?"""
@@ -400,87 +403,101 @@ def accept_refill(
 
     results: (edition, round, rank, title, url, published_date, reference_ts); base, prior:
     (edition, title, url); needed: (edition, needed). In a round, results are taken in rank order
-    while slots are left; a result related to anything accepted before it is refused.
+    while slots are left; a result related to anything accepted before it is refused. A round goes on in
+    lots of ranks, LOT first and then as many as all before, so that nothing is compared far beyond the last slot.
     """
     spark = results.sparkSession
     work = Rounds(spark, "refill")
     rows = within_result_duplicates(
         results.withColumn("_norm", normalize_title_search("title")), "_norm", ["edition", "round"]
     )
-    rows = analyze(rows, catalog, F.col("title"), F.lit(""), "_ta")
-    rows = rows.withColumn("ai_title_relevant", F.col("_ta")["relevance"] >= 2).withColumn(
-        "within_strict",
-        D.within_hours(D.parse_published("published_date"), "reference_ts", settings.strict_hours),
-    )
-    rows = work.save(rows.drop("_ta", "_norm"), "rows")
-    known = prior.select("edition", "title", "url").withColumn("order", F.lit(0).cast("long"))
+    rows = global_rank(rows.drop("_norm"), ["edition", "round"], [F.col("rank").asc()], "_no")
+    lot = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_no") / LOT))).cast("int")
+    rows = work.save(rows.withColumn("_lot", lot).drop("_no"), "rows")
+    lots = {r["round"]: r["_lots"] for r in rows.groupBy("round").agg(F.max("_lot").alias("_lots")).collect()}
+    base = work.save(base.select("edition", "title", "url"), "base")
+    known = work.save(prior.select("edition", "title", "url"), "prior")
+    # what results are compared with: accepted in earlier rounds or lots
+    seen = work.save(facing_titles(known.filter("title is not null")), "seen")
     decided: DataFrame | None = None
-    left = needed
+    left = work.save(needed.select("edition", "needed"), "needed")
     for number in range(1, settings.max_refill_rounds + 1):
-        current = rows.filter(F.col("round") == number).join(left.filter("needed > 0"), "edition")
-        current = flag_existing(current, base, known.select("edition", "title", "url"))
-        match = find_cluster_match(current, known).select("edition", "title", F.col("relation_type").alias("_prior_rel"))
-        current = work.save(current.join(match, ["edition", "title"], "left"), f"round{number}")
-        fit = current.filter(
-            F.coalesce("within_strict", F.lit(False))
-            & F.col("ai_title_relevant")
-            & ~F.col("duplicate_existing")
-            & ~F.col("duplicate_within_results")
-            & F.col("_prior_rel").isNull()
-        )
-        inner = related_titles(fit.select("edition", "title"), fit.select("edition", "title"))
-        members = fit.select("edition", F.col("rank").cast("long").alias("node"), F.col("rank").alias("ord"), F.md5(text("title")).alias("hub"))
-        edges = inner.select(
-            "edition", F.md5(text("left_title")).alias("later"), F.md5(text("right_title")).alias("earlier")
-        )
-        kept = first_fit(members, edges, "refill-fit").filter("kept").select("edition", F.col("node").alias("rank"))
-        slots = F.row_number().over(W.partitionBy("edition").orderBy("rank"))
-        taken = kept.join(left, "edition").withColumn("_n", slots).filter("_n <= needed")
-        taken = work.save(taken.select("edition", "rank", "_n", "needed"), f"taken{number}")
-        last = taken.filter("_n = needed").select("edition", F.col("rank").alias("_last"))
-        marked = (
-            current.join(taken.select("edition", "rank", F.lit(True).alias("_acc")), ["edition", "rank"], "left")
-            .join(last, "edition", "left")
-            .withColumn("accepted", F.coalesce("_acc", F.lit(False)))
-            # nothing is looked at once the last slot is taken
-            .filter(F.col("_last").isNull() | (F.col("rank") <= F.col("_last")))
-            .drop("_acc", "_last", "needed")
-        )
-        # accepted earlier in this round, seen by later results
-        live = marked.filter("accepted").select("edition", F.col("title").alias("right_title"), F.col("rank").alias("_arank"))
-        in_round = (
-            related_titles(
-                marked.filter("not accepted").select("edition", "title"),
-                marked.filter("accepted").select("edition", "title"),
+        accepted: DataFrame | None = None
+        for part in range(lots.get(number, 0) + 1):
+            if part and left.filter("needed > 0").isEmpty():
+                break
+            current = rows.filter((F.col("round") == number) & (F.col("_lot") == part)).drop("_lot")
+            current = analyze(current.join(left.filter("needed > 0"), "edition"), catalog, F.col("title"), F.lit(""), "_ta")
+            current = current.withColumn("ai_title_relevant", F.col("_ta")["relevance"] >= 2).withColumn(
+                "within_strict",
+                D.within_hours(D.parse_published("published_date"), "reference_ts", settings.strict_hours),
             )
-            .join(live, ["edition", "right_title"])
-            .select("edition", F.col("left_title").alias("title"), F.col("relation_type").alias("_rel"), "_arank")
-        )
-        hits = (
-            marked.select("edition", "title", "rank")
-            .join(in_round, ["edition", "title"])
-            .filter("_arank < rank")
-            .groupBy("edition", "rank")
-            .agg(F.max(F.col("_rel") == "near_duplicate").alias("_near"))
-        )
-        marked = marked.join(hits, ["edition", "rank"], "left")
-        near = (F.col("_prior_rel") == "near_duplicate") | F.col("_near")
-        any_rel = F.col("_prior_rel").isNotNull() | F.col("_near").isNotNull()
-        marked = (
-            marked.withColumn("near_duplicate_existing", F.coalesce(near, F.lit(False)))
-            .withColumn("story_cluster_existing", any_rel & ~F.col("near_duplicate_existing"))
-            .drop("_prior_rel", "_near")
-        )
-        marked = work.save(marked, f"decided{number}")
-        decided = marked if decided is None else decided.unionByName(marked)
-        fresh = marked.filter("accepted")
-        known = known.unionByName(
-            fresh.select("edition", "title", "url", (F.lit(number << 40) + F.col("rank")).alias("order"))
-        )
-        got = fresh.groupBy("edition").agg(F.count(F.lit(1)).alias("_got"))
-        left = left.join(got, "edition", "left").select(
-            "edition", (F.col("needed") - F.coalesce("_got", F.lit(0))).alias("needed")
-        )
+            current = flag_existing(current.drop("_ta"), base, known).withColumn("_id", F.md5("title"))
+            fit = (
+                F.coalesce("within_strict", F.lit(False))
+                & F.col("ai_title_relevant")
+                & ~F.col("duplicate_existing")
+                & ~F.col("duplicate_within_results")
+            )
+            current = work.save(current.withColumn("_fit", fit), f"lot{number}")
+            named = current.filter("title is not null")
+            others = seen.withColumn("known", F.lit(True)).unionByName(
+                facing_titles(named.filter("_fit")).withColumn("known", F.lit(False))
+            )
+            related = work.save(facing_relations(facing_titles(named), others), f"related{number}")
+            prior_near = related.filter("right_id is null").groupBy("edition", F.col("left_id").alias("_id")).agg(F.max("near").alias("_prior"))
+            current = work.save(current.join(prior_near, ["edition", "_id"], "left"), f"round{number}")
+            inner = related.filter("right_id is not null")
+            members = current.filter("_fit and _prior is null").select(
+                "edition", F.col("rank").cast("long").alias("node"), F.col("rank").alias("ord"), F.coalesce("_id", F.md5(F.lit(""))).alias("hub")
+            )
+            edges = inner.select("edition", F.col("left_id").alias("later"), F.col("right_id").alias("earlier"))
+            for side in ("later", "earlier"):
+                edges = edges.join(members.select("edition", F.col("hub").alias(side)), ["edition", side], "left_semi")
+            kept = first_fit(members, edges, "refill-fit").filter("kept").select("edition", F.col("node").alias("rank"))
+            slots = F.row_number().over(W.partitionBy("edition").orderBy("rank"))
+            taken = kept.join(left, "edition").withColumn("_n", slots).filter("_n <= needed")
+            taken = work.save(taken.select("edition", "rank", "_n", "needed"), f"taken{number}")
+            last = taken.filter("_n = needed").select("edition", F.col("rank").alias("_last"))
+            marked = (
+                current.join(taken.select("edition", "rank", F.lit(True).alias("_acc")), ["edition", "rank"], "left")
+                .join(last, "edition", "left")
+                .withColumn("accepted", F.coalesce("_acc", F.lit(False)))
+                # nothing is looked at once the last slot is taken
+                .filter(F.col("_last").isNull() | (F.col("rank") <= F.col("_last")))
+                .drop("_acc", "_last", "needed")
+            )
+            # accepted earlier in this lot, seen by later results
+            live = marked.filter("accepted").select("edition", F.col("_id").alias("right_id"), F.col("rank").alias("_arank"))
+            hits = (
+                marked.filter("not accepted").select("edition", F.col("_id").alias("left_id"), "rank")
+                .join(inner.join(live, ["edition", "right_id"]), ["edition", "left_id"])
+                .filter("_arank < rank")
+                .groupBy("edition", "rank")
+                .agg(F.max("near").alias("_near"))
+            )
+            near = F.greatest("_prior", "_near")
+            marked = (
+                marked.join(hits, ["edition", "rank"], "left")
+                .withColumn("near_duplicate_existing", F.coalesce(near, F.lit(False)))
+                .withColumn("story_cluster_existing", near.isNotNull() & ~F.col("near_duplicate_existing"))
+                .drop("_prior", "_near", "_id", "_fit")
+            )
+            marked = work.save(marked, f"decided{number}")
+            decided = marked if decided is None else decided.unionByName(marked)
+            fresh = marked.filter("accepted")
+            seen = seen.unionByName(work.save(facing_titles(fresh.filter("title is not null")), "seen"))
+            fresh = fresh.select("edition", "title", "url")
+            accepted = fresh if accepted is None else accepted.unionByName(fresh)
+            got = fresh.groupBy("edition").agg(F.count(F.lit(1)).alias("_got"))
+            left = work.save(
+                left.join(got, "edition", "left").select(
+                    "edition", (F.col("needed") - F.coalesce("_got", F.lit(0))).alias("needed")
+                ),
+                "needed",
+            )
+        if accepted is not None:
+            known = known.unionByName(accepted)
     return decided
 
 
