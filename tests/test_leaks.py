@@ -58,3 +58,18 @@ def test_long_unbroken_text_and_empty_tables(spark):
     body = "/".join(["q1"] * 200_000) + "https://x.org/1"
     assert found(spark, [("d", "p", body)], [("d", "https://x.org/1"), ("d", "https://x.org/2")]) == {("d", "p", "source_url", "https://x.org/1")}
     assert found(spark, [], [("d", "https://x.org/1")]) == set() == found(spark, [("d", "p", "x")], [])
+
+
+def test_bodies_of_an_edition_are_not_brought_together(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.range(50).selectExpr("date'2026-07-01' as edition", "string(id) as page", "concat('see https://h.com/', id, '/more') as body")
+        links = spark.range(50).selectExpr("date'2026-07-01' as edition", "concat('https://h.com/', id) as link")
+        found = leak_check(pages, links)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"(SortMergeJoin|ShuffledHashJoin)\S* \[edition#\d+\]", plan)
+        # with one digit and with two
+        assert found.filter("rule = 'source_url'").count() == 10 + 40 * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -314,7 +314,8 @@ def _visible_links(public: DataFrame, links: DataFrame) -> DataFrame:
     )
     first = F.when(F.col("leading") == 1, r"\S").otherwise("[A-Za-z0-9]")
     place = F.concat(F.lit(r"(?:(?<![A-Za-z0-9])|(?=https?://))(?=("), first, F.lit(r"\S{0,"), F.col("longest") - 1, F.lit("}))"))
-    runs = public.join(bounds, "edition").select(
+    # a row an edition: as a shuffled join it would bring all bodies of an edition into one task
+    runs = public.join(F.broadcast(bounds), "edition").select(
         "edition", "page", "signs", "fewest", F.explode(F.array_distinct(F.regexp_extract_all(text("body"), place, F.lit(1)))).alias("run")
     )
     pieces = F.slice(F.regexp_extract_all("run", F.lit("[A-Za-z0-9]*[^A-Za-z0-9]"), F.lit(0)), F.lit(1), F.col("signs"))
@@ -323,12 +324,17 @@ def _visible_links(public: DataFrame, links: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("page", "run"), F.lit(LEAK_SALTS)).cast("int").alias("salt")
     starts = runs.withColumn("pieces", pieces).filter("size(pieces) > 0 or fewest = 0")
     starts = starts.select("edition", "page", "run", salt, F.explode(heads).alias("head"))
+    # the run itself stays behind, whose signs are as many rows
+    rest = F.regexp_extract(F.expr("substr(run, length(head) + 1)"), "^[A-Za-z0-9]*", 0).alias("rest")
+    starts = starts.select("edition", "page", "salt", "head", rest)
     # one row a head; a head that very many places share, such as a host's, is spread over the salts
-    known = cut.groupBy("edition", "head").agg(F.min("tail").alias("least"), F.max("tail").alias("most"))
+    # few bytes that become a row a salt: no coalescing of tasks
+    slots = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut.repartition(slots, "edition", "head").groupBy("edition", "head").agg(F.min("tail").alias("least"), F.max("tail").alias("most"))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LEAK_SALTS - 1))))
-    reach = F.least("most", F.length(F.regexp_extract(F.expr("substr(run, length(head) + 1)"), "^[A-Za-z0-9]*", 0)))
+    reach = F.least("most", F.length("rest"))
     found = starts.join(known, ["edition", "head", "salt"]).withColumn("reach", reach).filter("reach >= least")
-    urls = found.select("edition", "page", F.explode(F.expr("transform(sequence(least, reach), k -> substr(run, 1, length(head) + k))")).alias("url"))
+    urls = found.select("edition", "page", F.explode(F.expr("transform(sequence(least, reach), k -> concat(head, substr(rest, 1, k)))")).alias("url"))
     return urls.distinct().join(links, ["edition", "url"], "left_semi")
 
 
