@@ -75,9 +75,11 @@ def match_evidence(
 
     results: (edition, pos, round, rank, title, url, published_date, score, content, raw_content,
     reference_ts). A round stops once the evidence of the candidate has reached `stop_at`, checked
-    after each acceptance, so a later round may still add one.
+    after each acceptance, so a later round may still add one. content and raw_content stay behind: what
+    counts of them is in evidence_item, and whole texts of all results would travel through every join.
     """
-    flagged = flag_relevant(candidates, gate_evidence(results, settings), catalog)
+    gated = gate_evidence(results, settings).drop("content", "raw_content")
+    flagged = flag_relevant(candidates, gated, catalog)
     flagged = save_once(flagged.withColumn("_url", compact_text("url")), "evidence")
     key = ["edition", "pos"]
     work = Rounds(flagged.sparkSession, "match-evidence")

@@ -17,10 +17,10 @@ from tidewire.settings import EnrichSettings
 from tidewire.workspace import save_once
 
 
-def search_results(spark, sf):
+def search_results(spark, sf, rows=None):
     """Five results in each of two rounds per article, made from the article itself."""
     p = (F.col("pos") - 1) * 7 + F.datediff("edition", F.lit(V.BASE_DAY).cast("date"))
-    rows = V.articles(spark, sf).withColumn("p", p)
+    rows = (V.articles(spark, sf) if rows is None else rows).withColumn("p", p)
     rows = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(2)))).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(5))))
     m = (F.col("p") + F.col("rank") + F.col("round")) % 5
     at = F.col("reference_ts") - F.make_dt_interval(hours=((F.col("p") * 7 + F.col("rank") * 13) % 90).cast("int"))
@@ -70,8 +70,9 @@ MATCH = f"""{RES}, {_LA}, {_RA}, ev0 AS (SELECT r.edition, r.pos, r.round, r.ran
 
 
 def decisions(spark, sf):
-    settings = EnrichSettings()
-    return save_once(Ev.match_evidence(V.articles(spark, sf), search_results(spark, sf), V.CATALOG, settings), "decisions")
+    # the pages are read for the candidates and for their results
+    rows = save_once(V.articles(spark, sf), "evidence-articles")
+    return save_once(Ev.match_evidence(rows, search_results(spark, sf, rows), V.CATALOG, EnrichSettings()), "decisions")
 
 
 @query("evidence_gate", f"WITH {V.ART}, {MATCH} SELECT edition, pos, round, rank, ok AS evidence_ok FROM ev1")
