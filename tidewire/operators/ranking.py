@@ -117,6 +117,9 @@ def candidate_queue(df: DataFrame, analysis: str = "analysis", cap: int | None =
     else:
         queue = top_k(turns, ["edition"], order, cap, "queue_pos")
     queue = queue.select("edition", "pos", F.col("queue_pos").cast("long").alias("queue_pos"))
+    if cap is not None:
+        # written, so that its size is known before rows with their texts would be dealt to meet a few keys
+        queue = save_once(queue, "queue-places")
     return df.join(queue, ["edition", "pos"])
 
 

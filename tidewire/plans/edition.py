@@ -118,7 +118,7 @@ def build_edition(
     """Dedupe, enrich, cross-day filter, select, digest, diagnose and gate."""
     work = Rounds(articles.sparkSession, "edition")
     kept, duplicates = Dd.dedupe_stories(conform_articles(articles))
-    kept = work.save(kept, "kept")
+    # read only where they are routed, and written there
     enriched = enrich_edition(kept, results, outcomes, catalog, enrich)
     ordered = enriched.stories.withColumn("pos", F.col("queue_pos")).drop("queue_pos")
     fresh, repeated, _ = Dd.recent_exact_antijoin(ordered, history)
