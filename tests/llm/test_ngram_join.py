@@ -58,3 +58,24 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert rows(ngram_components(frame(spark, []), 3, 90, 100)) == []
+
+
+def test_a_group_held_together_by_chance_falls_apart(spark, monkeypatch):
+    """Texts with a fifth in common share keys, but need more than that in common; near copies among them stay together."""
+    rng = random.Random(11)
+    common = prose(rng, 60)
+    texts = []
+    for i in range(40):
+        texts.append(" ".join(common + [f"x{i}y{j}" for j in range(rng.randrange(200, 260))]))
+    texts += [f"{t} z" for t in texts[:5]]
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 2000)
+    # every n-gram a key, so that all texts are one candidate group
+    monkeypatch.setattr(ngram_join, "_fillable", lambda *_: False)
+    monkeypatch.setattr(ngram_join, "segment_keys", lambda grams, *_: ngram_join.mix64(grams).view("int64"))
+    pieces = []
+    monkeypatch.setattr(ngram_join, "_placed", lambda nodes, *a, real=ngram_join._placed: pieces.append(nodes.collect()) or real(nodes, *a))
+    df = frame(spark, texts)
+    got = rows(ngram_components(df, 3, 80, 100))
+    assert got == jaccard_components(list(enumerate(texts)), 3, 80, 100)
+    # only the copied texts and their copies are compared at all
+    assert {r.doc_id for r in pieces[0]} == {*range(5), *range(40, 45)}

@@ -11,7 +11,10 @@ Steps
 3. Nodes that share keys form candidate groups. A group's n-gram sets are searched in blocks of bounded size by DivideSkip:
    the shortest inverted lists are merged, the long ones probed by binary search for the merged candidates only, and sets
    that reach the required overlap T are linked. Nodes that are linked already are not compared again.
-4. Large groups are dealt by size, as a set can be linked with its own and neighbouring levels only, then by hash into blocks. Every block also holds the
+4. A group wider than a block may hang together by chance: long texts that share a passage share a key here and there. Each n-gram of
+   such groups is counted, and a node goes that has fewer n-grams in common with all others than it needs in common with one; the
+   keys of those left make the groups anew. Keys and n-grams are dealt by hash, so this grows with the texts of wide groups only.
+5. Groups that are still large are dealt by size, as a set can be linked with its own and neighbouring levels only, then by hash into blocks. Every block also holds the
    group's first node; only nodes that their block does not link to it are carried to the other blocks of their own level and of
    those below and above that linked sets can be in.
 
@@ -347,9 +350,43 @@ BROADCAST_ROWS = 1_000_000
 #: keys are dealt to this many buckets per partition, which are grouped one after the other
 BUCKETS = 4
 
+#: bytes of a key beside its bucket, and of a node, in packed rows: keys that agree in them only add a candidate; linked nodes that do,
+#: with odds of 2 ** -48 a link, are not found by each other
+PACKED_BYTES = 6
 _PACKED = "bucket int, linked boolean, a binary, b binary"
 
 
+def _short(values: np.ndarray) -> np.ndarray:
+    """The bits of nodes that packed rows hold."""
+    return values & np.int64((1 << 8 * PACKED_BYTES) - 1)
+
+
+def _to_bytes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :PACKED_BYTES]).tobytes()
+
+
+def _from_bytes(raw: bytes) -> np.ndarray:
+    values = np.zeros((len(raw) // PACKED_BYTES, 8), np.uint8)
+    values[:, :PACKED_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, PACKED_BYTES)
+    return values.view("<i8").ravel().astype(np.int64)
+
+
+def _packed_rows(linked: bool, by: np.ndarray, other: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs by bucket of the first number: the bucket has its high bits, more or less, and the row its low ones."""
+    if not len(by):
+        return
+    mixed = mix64(by.view(np.uint64))
+    bucket = (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    by = by if linked else mixed.view(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, by, other = bucket[order], by[order], other[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+        columns = [pa.array([bucket[lo]], pa.int32()), pa.array([linked])]
+        columns += [pa.array([_to_bytes(x[lo:hi])], pa.binary()) for x in (by, other)]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "linked", "a", "b"])
+
+
 def _first_of_keys(keys: np.ndarray, nodes: np.ndarray):
     """(keys, smallest node of each, nodes that share a key with a smaller one, that one); the latter two without repeats."""
     order = np.lexsort((nodes, keys))
@@ -370,22 +407,11 @@ def _packed(sets, buckets: int):
     sets: texts -> (keys, nodes). A key that most documents share is a few numbers a task.
     """
 
-    def rows(linked: bool, by: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(by):
-            return
-        bucket = (mix64(by.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, by, other = bucket[order], by[order], other[order]
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-            columns = [pa.array([bucket[lo]], pa.int32()), pa.array([linked])]
-            columns += [pa.array([x[lo:hi].tobytes()], pa.binary()) for x in (by, other)]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "linked", "a", "b"])
-
     def flush(held) -> Iterator[pa.RecordBatch]:
-        keys, nodes, left, right = _first_of_keys(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield from rows(False, keys, nodes)
-        yield from rows(True, left, right)
+        keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, nodes, left, right = _first_of_keys(keys, _short(nodes))
+        yield from _packed_rows(False, keys, nodes, buckets)
+        yield from _packed_rows(True, left, right, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -410,7 +436,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, current = [], None
     for batch in batches:
         for bucket, linked, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pair = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            pair = _from_bytes(a), _from_bytes(b)
             if linked:
                 yield rows(*pair)
                 continue
@@ -423,6 +449,99 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*_first_of_keys(*(np.concatenate(x) for x in zip(*held, strict=True)))[2:])
 
 
+def _packed_ngrams(n: int, lower: bool, buckets: int):
+    """N-grams of the rows' sets with their node, packed by bucket; a node's n-gram once per run of PAIRS rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from _packed_rows(False, *(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+
+        for batch in batches:
+            roots, nodes, seen = batch.column(0).to_pylist(), batch.column(1).to_pylist(), set()
+            i = 0
+            for words in word_runs(batch.column(2)):
+                for grams in ngram_sets(words, n, lower):
+                    # rows whose text is another one under the same doc_id are left out
+                    if len(grams) and set_key(grams) == nodes[i] and nodes[i] not in seen:
+                        seen.add(nodes[i])
+                        # groups are counted apart
+                        group = mix64(np.array([roots[i]], np.int64).view(np.uint64))
+                        held.append(((grams ^ group).view(np.int64), np.full(len(grams), _short(np.int64(nodes[i])), np.int64)))
+                        size += len(grams)
+                    i += 1
+                    if size >= PAIRS:
+                        yield from flush()
+                        held, size = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, how many of its n-grams of a bucket another node has as well); rows come bucket by bucket."""
+
+    def rows(held) -> pa.RecordBatch:
+        grams, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((nodes, grams))
+        grams, nodes = grams[order], nodes[order]
+        fresh = np.append(True, (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1]))
+        grams, nodes = grams[fresh], nodes[fresh]
+        same = grams[1:] == grams[:-1]
+        found, counts = np.unique(nodes[np.append(same, False) | np.append(False, same)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["short", "shared"])
+
+    held, current = [], None
+    for batch in batches:
+        for bucket, _, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != current and held:
+                yield rows(held)
+                held = []
+            current = bucket
+            held.append((_from_bytes(a), _from_bytes(b)))
+    if held:
+        yield rows(held)
+
+
+def _by_bucket(packed: DataFrame, parts: int) -> DataFrame:
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def _grouped(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """The nodes that edges(node, peer) between their short forms connect with others, with the smallest node of their group as root."""
+    groups = _roots(edges, name).withColumnsRenamed({"node": "short", "root": "_group"})
+    short = F.col("node").bitwiseAND(F.lit((1 << 8 * PACKED_BYTES) - 1))
+    placed = nodes.drop("root").withColumn("short", short).join(groups, "short").drop("short")
+    heads = placed.groupBy("_group").agg(F.min("node").alias("root"))
+    return placed.join(heads, "_group").drop("_group")
+
+
+def _without_chance(texts: DataFrame, nodes: DataFrame, sets, n: int, num: int, den: int, lower: bool, rounds: Rounds) -> DataFrame:
+    """nodes (node, root, doc_id, n_shingles) with groups wider than a block made anew, without those that no other set there can be linked with."""
+    wide = nodes.groupBy("root").agg(F.sum("n_shingles").alias("_all")).filter(F.col("_all") > BLOCK_NGRAMS).select("root")
+    inside = rounds.save(nodes.join(wide, "root", "left_semi"), "wide")
+    count = inside.count()
+    if not count:
+        return nodes
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def of(some: DataFrame) -> DataFrame:
+        return texts.join(_sized(some.select("doc_id", "root", "node"), count), "doc_id").select("root", "node", "text")
+
+    packed = of(inside).mapInArrow(_packed_ngrams(n, lower, BUCKETS * parts), _PACKED)
+    shared = _by_bucket(packed, parts).mapInArrow(_counted, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
+    short = F.col("node").bitwiseAND(F.lit((1 << 8 * PACKED_BYTES) - 1))
+    left = inside.withColumn("short", short).join(shared, "short").filter(F.col("shared") * den >= F.col("n_shingles") * num)
+    left = rounds.save(left.drop("short", "shared"), "left")
+    keyed = of(left).select("text").mapInArrow(_packed(sets, BUCKETS * parts), _PACKED)
+    edges = rounds.save(_by_bucket(keyed, parts).mapInArrow(_edges, "node long, peer long").distinct(), "left-candidates")
+    regrouped = _grouped(left, edges, "ngram-regroups")
+    columns = ["node", "root", "doc_id", "n_shingles"]
+    return nodes.join(wide, "root", "left_anti").select(*columns).unionByName(regrouped.select(*columns))
+
+
 def _roots(edges: DataFrame, name: str) -> DataFrame:
     found = components(edges.select(F.lit(0).alias("edition"), F.col("node").alias("a"), F.col("peer").alias("b")), name)
     return found.select(F.col("vertex").alias("node"), "root")
@@ -472,16 +591,11 @@ def linked_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, lowe
         return _node_keys(columns, n, num, den, lower, shared.value)
 
     packed = texts.filter("doc_id is not null").select("text").mapInArrow(_packed(sets, BUCKETS * parts), _PACKED)
-    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    edges = rounds.save(dealt.mapInArrow(_edges, "node long, peer long").distinct(), "candidates")
-    groups = _roots(edges, "ngram-groups")
-    nodes = (
-        known.join(groups, "node")
-        .groupBy("node", "root")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    )
-    nodes = rounds.save(nodes, "members")
+    edges = rounds.save(_by_bucket(packed, parts).mapInArrow(_edges, "node long, peer long").distinct(), "candidates")
+    found = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    nodes = rounds.save(_grouped(found, edges, "ngram-groups"), "members")
     rounds.drop(edges)
+    nodes = rounds.save(_without_chance(texts, nodes, sets, n, num, den, lower, rounds), "regrouped")
     placed, pieces = _placed(nodes, num, den)
     placed = rounds.save(placed, "placed")
     members = texts.join(_sized(placed, placed.count()), "doc_id").select("root", "chunk", "node", "text")
@@ -502,8 +616,8 @@ def linked_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, lowe
             "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
         )
         columns = ["doc_id", "root", "chunk", "part", "node"]
-        both = carried.select(*columns, F.lit(True).alias("carried")).union(base.select(*columns, F.lit(False)))
-        blocks = texts.join(both, "doc_id").select("root", "chunk", "part", "node", "text", "carried")
+        both = rounds.save(carried.select(*columns, F.lit(True).alias("carried")).union(base.select(*columns, F.lit(False))), "both")
+        blocks = texts.join(_sized(both, both.count()), "doc_id").select("root", "chunk", "part", "node", "text", "carried")
         across = blocks.groupBy("root", "chunk", "part").applyInArrow(_across(n, num, den, lower), _EDGES)
         links = links.union(rounds.save(across, "across").filter("node <> peer").select("node", "peer"))
     return digests.select("doc_id", "n_shingles", "node"), links
