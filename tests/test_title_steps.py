@@ -2,13 +2,13 @@
 
 from difflib import SequenceMatcher
 
-from helpers import DAY, article, frame
+from helpers import DAY, article, frame, random_titles
 from pyspark.sql import functions as F
 
 from tidewire.operators.clusters import annotate_story_clusters
 from tidewire.operators.dedupe import mark_story_duplicates
 from tidewire.operators.greedy import components
-from tidewire.operators.similarity import TitleBlock, related_titles
+from tidewire.operators.similarity import TitleBlock, _reaches, related_titles, title_similarity_join
 
 
 def done_again(df):
@@ -49,3 +49,20 @@ def test_relations_are_matched_once(spark):
     found = related_titles(titles, titles, ascending=True)
     assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.left_title, r.right_title, r.relation_type) for r in found.collect()] == [(names[1], names[0], "near_duplicate")]
+
+
+def test_ratios_are_matched_after_titles_are_dealt(spark):
+    rows = [(DAY, t) for t in random_titles(5, 60)]
+    found = title_similarity_join(spark.createDataFrame(rows, "edition date, norm string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+
+
+def test_threshold_is_decided_as_by_the_ratio():
+    titles = random_titles(7, 120) + ["ab" * 100, "ab" * 90 + "cd" * 10, "ba" * 100]
+    reached = 0
+    for a in titles:
+        for b in titles:
+            want = SequenceMatcher(None, a, b).ratio() >= 0.9
+            assert _reaches(a, b, 0.9) == want
+            reached += want
+    assert reached > len(titles)

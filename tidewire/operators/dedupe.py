@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import compact_text, normalize_title_identity, normalize_title_search
 from tidewire.functions.urls import article_key, canonical_story_url, canonical_url_search
 from tidewire.operators.greedy import first_fit
-from tidewire.operators.similarity import title_similarity_join
+from tidewire.operators.similarity import repeated_titles
 from tidewire.workspace import save_once
 
 
@@ -41,22 +41,11 @@ def mark_story_duplicates(df: DataFrame) -> DataFrame:
     )
     members = nodes.select("edition", F.col("ord.pos").alias("node"), "ord", F.explode(hubs).alias("hub"))
     own = members.select("edition", F.col("hub").alias("later"), F.col("hub").alias("earlier")).distinct()
-    titles = nodes.filter("_norm <> ''").select("edition", F.col("_norm").alias("norm"))
-    similar = title_similarity_join(titles).select(
+    titles = nodes.filter("_norm <> ''").groupBy("edition", F.col("_norm").alias("norm")).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    cross = repeated_titles(titles).select(
         "edition",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("ratio_lr") >= 0.9, F.struct(F.col("left").alias("x"), F.col("right").alias("y"))),
-                    F.when(F.col("ratio_rl") >= 0.9, F.struct(F.col("right").alias("x"), F.col("left").alias("y"))),
-                )
-            )
-        ).alias("e"),
-    )
-    cross = similar.select(
-        "edition",
-        F.concat(F.lit("t:"), F.md5("e.x")).alias("later"),
-        F.concat(F.lit("t:"), F.md5("e.y")).alias("earlier"),
+        F.concat(F.lit("t:"), F.md5("later")).alias("later"),
+        F.concat(F.lit("t:"), F.md5("earlier")).alias("earlier"),
     )
     decided = first_fit(members, own.unionByName(cross), "dedupe")
     fate = nodes.select("edition", "_key", "_norm", F.col("ord.pos").alias("node")).join(
