@@ -16,7 +16,7 @@ from tidewire.operators.dedupe import flag_existing
 from tidewire.operators.gates import gate_evidence, observation_signals
 from tidewire.operators.greedy import first_fit
 from tidewire.operators.ranking import candidate_queue, global_rank, lead_order, top_k, within_result_duplicates
-from tidewire.operators.similarity import facing_relations, facing_titles, related_titles, title_similarity
+from tidewire.operators.similarity import best_related, facing_relations, facing_titles, title_similarity
 from tidewire.settings import EnrichSettings
 from tidewire.workspace import Rounds, save_once
 
@@ -371,7 +371,7 @@ def find_cluster_match(results: DataFrame, accepted: DataFrame) -> DataFrame:
 
     accepted: (edition, title, order) where `order` is the position in the accepted list.
     """
-    related = related_titles(results.select("edition", "title"), accepted.select("edition", "title"))
+    related = best_related(results.select("edition", "title"), accepted.select("edition", "title"))
     first = accepted.groupBy("edition", F.col("title").alias("right_title")).agg(F.min("order").alias("order"))
     rows = related.join(first, ["edition", "right_title"])
     order = [
